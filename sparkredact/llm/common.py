@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as every contract here means it.
 WHITE = r"\x20\x09-\x0D"
+#: Bytes of text that a Python worker works on at once; arrays over them take some tens of times as much.
+SLICE = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,3 +62,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def squeezed(text):
     """Each run of ASCII white space becomes one space. A lone space between words never matches, so most text is only scanned."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\x09-\x0D][{WHITE}]*|\x20[{WHITE}]+", " ")
+
+
+def binary_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first value, bytes, where values begin and the last ends) of consecutive values of a binary column."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
+        yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        first = last
+
+
+C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Bytes between words: ASCII white space; and for words of letters and digits alone, all ASCII but these.
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser: every input bit reaches every output bit."""
+    x = x ^ (x >> np.uint64(31))
+    x = x * C3
+    x ^= x >> np.uint64(29)
+    x *= C2
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in ASCII lower case, where they begin, and the index of each document's first word (and the end)."""
+    space = between[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before = np.ones(len(data), bool)
+    before[1:] = space[:-1]
+    start = np.flatnonzero(~space & (before | edge[:-1]))
+    first = np.searchsorted(start, offsets)
+    if not len(start):
+        return np.zeros(0, np.uint64), start, first
+    word = np.zeros(len(data), np.int32)
+    word[start] = 1
+    word = np.cumsum(word, dtype=np.int32) - 1
+    place = np.arange(len(data)) - start[np.maximum(word, 0)]
+    place[space] = 0
+    with np.errstate(over="ignore"):
+        powers = np.full(int(place.max()) + 1, C1 | np.uint64(1))
+        powers[0] = 1
+        value = mixed(np.arange(1, 257, dtype=np.uint64) * C1)[LOWER[data]]
+        value *= np.multiply.accumulate(powers)[place]
+        value[space] = 0
+        return mixed(np.add.reduceat(value, start)), start, first

@@ -58,6 +58,7 @@ def _collapse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(2),
                 pa.array(range(uid, uid + len(texts)), pa.int64()),
                 pa.array([uid + r for r in rep], pa.int64()),
                 pa.array([doc_ids[r] for r in rep], pa.int64()),
@@ -66,13 +67,13 @@ def _collapse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([t[:FIRST_WIDTH] if mine else None for t, mine in zip(texts, own)], pa.binary()),
                 pa.array([t[FIRST_WIDTH:] if mine else None for t, mine in zip(texts, own)], pa.binary()),
             ],
-            names=["doc_id", "uid", "rep", "rep_doc", "copies", "text_sha256", "digit", "rest"],
+            names=["doc_id", "tk", "uid", "rep", "rep_doc", "copies", "text_sha256", "digit", "rest"],
         )
         uid += len(texts)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256 and uid.
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, uid and tk (the whole text's hash).
 
     Texts are equal when they are identical after each run of ASCII white space became one space; a null
     text counts as empty. Of equal texts the row with the smallest id stays (a null id comes last, and of
@@ -80,8 +81,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     space = Workspace(spark, "exact-dedup")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), squeezed(F.col(text_col)).cast("binary").alias("text"))
-    schema = "doc_id long, uid long, rep long, rep_doc long, copies long, text_sha256 string, digit binary, rest binary"
+    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), squeezed(F.col(text_col)).cast("binary").alias("text"), raw.alias("tk"))
+    schema = "doc_id long, tk long, uid long, rep long, rep_doc long, copies long, text_sha256 string, digit binary, rest binary"
     rows = space.keep(texts.mapInArrow(_collapse, schema), "rows")
 
     # Groups are counted on the digit alone; only members of groups of two or more carry their text on.
@@ -111,5 +113,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     reps = reps.select("rep", F.coalesce("class", "rep").alias("lead"), F.when(F.col("class").isNotNull(), F.col("lead_doc")).otherwise(F.col("rep_doc")).alias("keep_id"), "copies")
     sizes = reps.groupBy("lead").agg(F.sum("copies").alias("group_size"))
     reps = reps.join(sizes, "lead").select("rep", "lead", "keep_id", "group_size")
-    members = rows.select("doc_id", "uid", "rep", "text_sha256")
-    return members.join(reps, "rep").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("lead")).alias("kept"), "text_sha256", "uid")
+    members = rows.select("doc_id", "tk", "uid", "rep", "text_sha256")
+    return members.join(reps, "rep").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("lead")).alias("kept"), "text_sha256", "uid", "tk")

@@ -4,8 +4,7 @@ A line is boilerplate when it stands on many sites. For each line hash a HyperLo
 merged by aggregation. Lines whose estimate is far from the threshold are decided by it; lines near the
 threshold, within the sketch's error, get an exact distinct count. Boilerplate is then removed from every text.
 
-A line can't stand on more sites than it has rows, so lines with fewer rows than the band's lower end are settled by a
-plain count before any sketch is built. Counts and sketches aggregate map-side, so one line on a third
+Sketches aggregate map-side, and exact counts take distinct pairs of line and site, so one line on a third
 of all rows is one row a task. Removal ships hashes to the documents, not lines: each document is split again
 beside the hashes that it has to drop.
 """
@@ -41,12 +40,13 @@ def boilerplate(docs: DataFrame, site_col: str, text_col: str, min_sites: int =
     low, high = max(1, math.floor(min_sites * (1 - BAND * error))), math.ceil(min_sites * (1 + BAND * error))
     keys = F.array_compact(F.array_distinct(F.transform(_lines(F.col(text_col)), _key)))
     rows = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(keys).alias("line"))
-    often = rows.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= low).select("line")
-    candidates = rows.join(often, "line")
-    spread = candidates.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
+    spread = rows.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
+    spread = spread.filter(F.col("sites") >= low)
     sure = spread.filter(F.col("sites") > high)
-    near = spread.filter(F.col("sites").between(low, high)).select("line")
-    exact = candidates.join(near, "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("sites"))
+    near = spread.filter(F.col("sites") <= high).select("line")
+    # A line has at most as many of these pairs as there are sites, however many rows it is on.
+    pairs = rows.distinct()
+    exact = pairs.join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites"))
     return sure.unionByName(exact.filter(F.col("sites") >= min_sites))
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 WINDOW = 1024
-#: Chunks of text whose ids one Python worker remembers; about 40 MB.
-REMEMBERED = 1 << 18
+#: Chunks of text whose ids one Python worker remembers; about 200 MB.
+REMEMBERED = 1 << 20
 
 
 class Encoder:
@@ -48,11 +49,13 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         special = {"<|endoftext|>": 50256} if special is None else special
         self.bpe = tiktoken.Encoding("packing", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.odd = re.compile(r"\s |(?: \s)")
+        self.odd = re.compile(r"\s | \s")
         self.inner = _Remembered(lambda part: self.whole(" " + part))
 
     def whole(self, text: str) -> bytes:
-        return self.bpe.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        if "<|" not in text:  # looking for special tokens costs more than most parts' encoding
+            return array("I", self.bpe.encode_ordinary(text)).tobytes()
+        return array("I", self.bpe.encode(text, allowed_special="all")).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if self.odd.search(text):

@@ -8,15 +8,49 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard_join import near_classes
 from .line_dedup import MIN_SITES, dedup_lines
+from .media import media_columns, store_media
 from .mixing import mix
 from .packing import pack
+from .sharding import LEVEL, SHARD, compacted
+from .suffix_dedup import remove_repeats
+from .toxicity import held_out, learn, toxicity
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, root = store_media(table(spark, sf_dir, "documents"))
+    return media_columns(rows, root)
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), digest_only=True)
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document lies after compaction, with a checksum of the text read back from there."""
+    docs = table(spark, sf_dir, "documents")
+    rows = compacted(docs).read()
+    if rows is None:
+        rows = docs.limit(0).withColumns({SHARD: F.lit(""), LEVEL: F.lit(0)})
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", F.col(SHARD).alias("shard"), F.col(LEVEL).alias("level"), F.octet_length(text).alias("n_bytes"), F.crc32(text.cast("binary")).alias("text_crc32"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -66,7 +100,12 @@ FROM m GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_media_columns": op2_media_columns,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_toxicity": op5_toxicity,
+    "op6_sharding": op6_sharding,
     "op7_source_mixing": op7_source_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,

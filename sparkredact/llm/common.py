@@ -95,8 +95,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words in ASCII lower case, where they begin, and the index of each document's first word (and the end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACES, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in ASCII lower case, where they begin, and the index of each document's first word (and the end).
+
+    With prefixes the hashes have a row for whole words and one for each number of bytes; 0 where a word isn't longer.
+    """
     space = between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -105,7 +108,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPA
     start = np.flatnonzero(~space & (before | edge[:-1]))
     first = np.searchsorted(start, offsets)
     if not len(start):
-        return np.zeros(0, np.uint64), start, first
+        return np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64), start, first
     word = np.zeros(len(data), np.int32)
     word[start] = 1
     word = np.cumsum(word, dtype=np.int32) - 1
@@ -117,4 +120,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPA
         value = mixed(np.arange(1, 257, dtype=np.uint64) * C1)[LOWER[data]]
         value *= np.multiply.accumulate(powers)[place]
         value[space] = 0
-        return mixed(np.add.reduceat(value, start)), start, first
+        whole = mixed(np.add.reduceat(value, start))
+        if not prefixes:
+            return whole, start, first
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+        size = np.add.reduceat(~space, start, dtype=np.int64)
+        rows = [whole]
+        for n in prefixes:
+            part = mixed(sums[np.minimum(start + n, len(data))] - sums[start] + np.uint64(n) * C2)
+            rows.append(np.where(size > n, part, np.uint64(0)))
+        return np.stack(rows), start, first

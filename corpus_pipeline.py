@@ -1,8 +1,69 @@
-"""Corpus pipeline (stages follow)."""
+"""A corpus in five stages: toxic documents go, then exact and near copies; sources are mixed and documents packed.
 
-STAGES: list = []
+Each stage reads what the one before wrote. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkredact.llm.common import Workspace, table
+from sparkredact.llm.exact_dedup import exact_dedup
+from sparkredact.llm.jaccard_join import near_classes
+from sparkredact.llm.mixing import Target, mixed_documents
+from sparkredact.llm.packing import pack
+from sparkredact.llm.toxicity import learn, without_toxic
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below the threshold; labels serve to learn, and none is read to decide."""
+    return without_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of docs for each row of kept (doc_id, tk): the id and the text's hash name a document."""
+    marks = kept.select(F.col("doc_id").alias("kept_id"), F.col("tk").alias("kept_tk")).distinct()
+    rows = docs.withColumn("row_tk", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")))
+    found = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row_tk") == F.col("kept_tk")), "left_semi")
+    return found.dropDuplicates(["doc_id", "row_tk"]).select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first of each group of documents with equal text but for white space."""
+    found = exact_dedup(docs)
+    return _chosen(docs, found.filter("kept").select("doc_id", "tk"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first of each class of documents that share 80 % of their five-word shingles; documents without words stay."""
+    return _chosen(docs, near_classes(docs, words=5, percent=80).filter("keeps"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources tempered until small ones repeat at most twice as often as the largest, which is seen once."""
+    return mixed_documents(docs, Target(max_repeats=2.0))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+#: Learned scores, classes of near copies and the packing plan can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    space = Workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = space.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -55,6 +55,20 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Hash buckets by which a scan can skip rows that a join won't need; at most so many rows are broadcast.
+BUCKETS = 1 << 20
+
+
+def with_keys(rows: DataFrame, keys: DataFrame, names: list[str], how: str = "left_semi") -> DataFrame:
+    """Rows whose hash bucket holds one of the keys (left_anti: holds none), found without a shuffle of rows.
+
+    Some rows without a key pass, more of them the more keys there are; a join has to follow. left_anti is exact in
+    that no row with a key passes.
+    """
+    bucket = F.pmod(F.xxhash64(*names), F.lit(BUCKETS))
+    return rows.join(F.broadcast(keys.select(bucket.alias("bucket_")).distinct()), bucket == F.col("bucket_"), how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

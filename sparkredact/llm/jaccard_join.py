@@ -3,17 +3,18 @@
 A document is the set of its word n-grams, hashed to 64 bits and sorted. By the prefix lemma two sets with
 Jaccard similarity t or more share a member among the first p = n - ceil(t n) + 1 of each, in any order that is the
 same for all documents. The order here puts members that are frequent among prefixes last and else follows the hash.
-So that the frequent ones can be skipped, a document hands in an extended prefix of about 2p members; where too few
+So that the frequent ones can be skipped, a document hands in an extended prefix of about 3p/2 members; where too few
 infrequent ones are in it, the document is *plain*: it is joined by the pure hash order, which is an order as well.
 
-1. Equal sets collapse to one node (128-bit fingerprint), at first within an Arrow batch.
+1. Equal sets collapse to one node (by fingerprint), at first within an Arrow batch.
 2. Nodes of one size with identical extended prefixes form a group; only its leader enters the lists of prefix members.
-3. Each list is filtered by size and by a parity sketch, whose differing bits never exceed the
-   symmetric difference, so the filter rejects no link. Of what passes, each leader keeps an edge to
-   one earlier leader, each other node one to its leader: as many edges as nodes, however large a group of near copies is.
-4. Edges are verified on whole sets and joined into classes. Then groups expand: in lists that still hold several
-   classes, every pair of nodes of different classes that passes the filter is verified. Pairs within a class
-   can't change any class.
+3. Each list is filtered by size and by a parity sketch, whose differing bits never exceed the symmetric difference,
+   so the filter rejects no link. Short lists give every pair that passes; in a longer one each leader keeps an edge to
+   one earlier leader, and outside lists each other node of a group one to its leader: about as many edges as nodes,
+   however large a group of near copies is.
+4. Edges are verified on whole sets and joined into classes. Then groups expand: in lists whose pairs weren't all
+   tried and that still hold several classes, every pair of nodes of different classes that passes the filter is verified.
+   Pairs within a class can't change any class.
 
 Lists longer than LIST are dealt out by pairs of blocks. No task holds a class or all members of a list.
 """
@@ -28,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import C1, Workspace, binary_slices, mixed, word_hashes
+from .common import C1, Workspace, binary_slices, mixed, with_keys, word_hashes
 
 #: Leaders that may share a prefix member before it counts as frequent.
 FREQUENT = 48
-#: Entries of a list that one task compares with each other.
-LIST = 4096
+#: Entries up to which a list gives all pairs at once, and up to which one task compares them with each other.
+SHORT, LIST = 16, 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -64,7 +65,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 def handed_in(n: int, percent: int) -> int:
     """Members of the extended prefix."""
-    return min(n, 2 * prefix_length(n, percent) + 4)
+    p = prefix_length(n, percent)
+    return min(n, p + p // 2 + 4)
 
 
 def most_apart(n: int, m: int, percent: int) -> int:
@@ -82,69 +84,101 @@ def parity_sketch(members: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _read(words: int, percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _read(words: int, percent: int, seed: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, tk, text) to READ: size, fingerprint and group of each set, and the sketch where a batch has it first."""
+
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         task = TaskContext.get()
         uid = (task.partitionId() if task else 0) << 40
         for batch in batches:
-            sizes, prints, prefixes, sketches, seen = [], [], [], [], set()
+            sizes, prints, groups, sketches, seen = [], [], [], [], set()
             for _, data, offsets in binary_slices(batch.column(2)):
                 for members in shingle_sets(data, offsets, words):
-                    n, mark = len(members), xxhash.xxh3_128_digest(members.tobytes())
+                    n, mark = len(members), xxhash.xxh3_128_digest(members.tobytes(), seed=seed)
                     new = n > 0 and mark not in seen
                     seen.add(mark)
                     sizes.append(n)
                     prints.append(mark)
-                    prefixes.append(members[: handed_in(n, percent)].tobytes() if new else None)
+                    groups.append(group_key(members, percent))
                     sketches.append(parity_sketch(members) if new else None)
             marks = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-            arrays = [batch.column(0), batch.column(1), pa.array(range(uid, uid + len(sizes)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())]
+            arrays = [batch.column(0), batch.column(1), pa.array(range(uid, uid + len(sizes)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(groups, pa.int64()), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=READ)
             uid += len(sizes)
 
     return read
 
 
-READ = ["doc_id", "tk", "uid", "n", "fa", "fb", "prefix", "sketch"]
-READ_SCHEMA = "doc_id long, tk long, uid long, n long, fa long, fb long, prefix binary, sketch binary"
+READ = ["doc_id", "tk", "uid", "n", "fa", "fb", "gk", "sketch"]
+READ_SCHEMA = "doc_id long, tk long, uid long, n long, fa long, fb long, gk long, sketch binary"
+
+
+def group_key(members: np.ndarray, percent: int) -> int:
+    """A hash of a set's size and extended prefix. Groups that collide by chance only add candidates."""
+    import xxhash
+
+    n = len(members)
+    return xxhash.xxh3_64_intdigest(members[: handed_in(n, percent)].tobytes(), seed=n) - (1 << 63)
+
 
+#: Bits of a member that lists are told apart by, besides those that name its bucket. Members that collide add candidates.
+MEMBER_BITS = np.uint64(40)
 
-def _packed(buckets: int, percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(node, n, prefix) to a row for each bucket with members, nodes and whether each is in the plain prefix."""
+
+def _packed(words: int, percent: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to a row for each bucket: members (five bytes each), groups, and whether each is in the plain prefix."""
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes = (batch.column(i).to_numpy() for i in (0, 1))
-            prefixes = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            prefixes: dict[int, np.ndarray] = {}
+            plains: list[np.ndarray] = []
+            for _, data, offsets in binary_slices(batch.column(0)):
+                for members in shingle_sets(data, offsets, words):
+                    if (n := len(members)) and (key := group_key(members, percent)) not in prefixes:
+                        prefixes[key] = members[: handed_in(n, percent)].copy()
+                        plains.append(np.arange(len(prefixes[key])) < prefix_length(n, percent))
             if not prefixes:
                 continue
-            counts = np.array([len(x) for x in prefixes])
-            member, node = np.concatenate(prefixes), np.repeat(nodes, counts)
-            plain = np.concatenate([np.arange(len(x)) < prefix_length(int(n), percent) for x, n in zip(prefixes, sizes)])
+            counts = [len(x) for x in prefixes.values()]
+            member, plain = np.concatenate(list(prefixes.values())), np.concatenate(plains)
+            group = np.repeat(np.fromiter(prefixes, np.int64, len(counts)), counts)
             with np.errstate(over="ignore"):
-                bucket = ((member * C1) >> np.uint64(40)) % np.uint64(buckets)
+                spread = member * C1
+            bucket = (spread >> MEMBER_BITS) % np.uint64(buckets)
             way = np.argsort(bucket, kind="stable")
-            member, node, plain = member[way], node[way], plain[way]
+            low, group, plain = spread[way] & ((np.uint64(1) << MEMBER_BITS) - np.uint64(1)), group[way], plain[way]
+            four, one = low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8)
             cuts = np.searchsorted(bucket[way], np.arange(buckets + 1)).tolist()
-            rows = [(b, member[i:j].tobytes(), node[i:j].tobytes(), plain[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["bucket", "member", "node", "plain"])
+            rows = [(b, four[i:j].tobytes(), one[i:j].tobytes(), group[i:j].tobytes(), np.packbits(plain[i:j]).tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=PACKED)
 
     return packed
 
 
-def _lists(group: pa.Table) -> pa.Table:
-    """Entries of the members of a bucket that several leaders share."""
-    member, node, plain = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("member", np.uint64), ("node", np.int64), ("plain", bool)))
-    way = np.argsort(member, kind="stable")
-    member, node, plain = member[way], node[way], plain[way]
-    begin = np.flatnonzero(np.append(True, member[1:] != member[:-1])) if len(member) else np.zeros(0, np.int64)
+PACKED = ["bucket", "four", "one", "gk", "plain"]
+PACKED_SCHEMA = "bucket int, four binary, one binary, gk binary, plain binary"
+
+
+def _lists(table: pa.Table) -> pa.Table:
+    """Entries of the members of a bucket that several groups share."""
+    bucket, fours, ones, groups, plains = (table.column(c).to_pylist() for c in PACKED)
+    member = np.frombuffer(b"".join(fours), np.uint32).astype(np.uint64) | (np.frombuffer(b"".join(ones), np.uint8).astype(np.uint64) << np.uint64(32))
+    group = np.frombuffer(b"".join(groups), np.int64)
+    plain = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8), count=len(o)) for p, o in zip(plains, ones)]).astype(bool)
+    way = np.lexsort((group, member))
+    member, group, plain = member[way], group[way], plain[way]
+    new = np.ones(len(way), bool)
+    new[1:] = (member[1:] != member[:-1]) | (group[1:] != group[:-1])
+    member, group, plain = member[new], group[new], plain[new]
+    begin = np.flatnonzero(np.append(True, member[1:] != member[:-1]))
     count = np.diff(np.append(begin, len(member)))
     count = np.repeat(count, count)
     some = count > 1
-    return pa.table({"member": member[some].view(np.int64), "lead": node[some], "in_plain": plain[some], "frequent": count[some] > FREQUENT})
+    name = member[some] | (np.uint64(bucket[0]) << MEMBER_BITS)
+    return pa.table({"member": name.view(np.int64), "gk": group[some], "in_plain": plain[some], "frequent": count[some] > FREQUENT})
 
 
 class _Entry:
@@ -172,9 +206,9 @@ class _Entry:
 
 
 def _near(entries: list[_Entry], percent: int, one_each: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of a list that may be linked: of different kinds, or with one_each, an edge to one earlier leader."""
+    """Pairs of a list that may be linked: of different kinds; with one_each and many entries, an edge to one earlier leader."""
     entries.sort(key=lambda e: (e.n, e.node))
-    if one_each:
+    if one_each and len(entries) > SHORT:
         leaders: list[_Entry] = []
         for e in entries:
             for other in reversed(leaders):
@@ -183,7 +217,7 @@ def _near(entries: list[_Entry], percent: int, one_each: bool) -> Iterator[tuple
                     leaders.append(e)
                     break
                 if other.may_link(e, percent):
-                    yield other.node, e.node
+                    yield min(other.node, e.node), max(other.node, e.node)
                     break
             else:
                 leaders.append(e)
@@ -193,7 +227,7 @@ def _near(entries: list[_Entry], percent: int, one_each: bool) -> Iterator[tuple
         while entries[low].n * 100 < e.n * percent:
             low += 1
         for other in entries[low:i]:
-            if other.kind != e.kind and (other.side != e.side or e.side < 0) and other.may_link(e, percent):
+            if (one_each or other.kind != e.kind) and (other.side != e.side or e.side < 0) and other.may_link(e, percent):
                 yield min(other.node, e.node), max(other.node, e.node)
 
 
@@ -285,55 +319,68 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     space = Workspace(spark, "jaccard-join")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    rows = space.keep(own.mapInArrow(_read(words, percent), READ_SCHEMA), "rows")
 
-    # Equal sets become one node, nodes with one size and extended prefix one group.
-    sets = rows.filter("n > 0").groupBy("fa", "fb").agg(F.min(F.when(F.col("prefix").isNotNull(), F.col("uid"))).alias("node"), F.min("doc_id").alias("least_doc"))
-    nodes = rows.filter("prefix is not null").join(sets.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "doc_id", "tk", "n", "sketch", "prefix", F.xxhash64("prefix").alias("pk"))
-    nodes = space.keep(nodes.join(nodes.groupBy("n", "pk").agg(F.min("node").alias("lead")), ["n", "pk"]), "nodes")
+    # Equal sets become one node. Should two different sets share 64 bits, another seed parts them.
+    for seed in range(16):
+        rows = space.keep(own.mapInArrow(_read(words, percent, seed), READ_SCHEMA), f"rows{seed}")
+        home = F.min(F.struct(F.isnull("doc_id").alias("absent"), "doc_id", "tk")).alias("home")
+        nodes = rows.filter("n > 0").groupBy("fa").agg(home, F.min("n").alias("n"), F.min("gk").alias("gk"), F.max("sketch").alias("sketch"), F.min("fb").alias("low"), F.max("fb").alias("high"))
+        nodes = space.keep(nodes.select(F.col("fa").alias("node"), "home.doc_id", "home.tk", "n", "gk", "sketch", (F.col("low") < F.col("high")).alias("clash")), f"nodes{seed}")
+        if nodes.filter("clash").isEmpty():
+            break
+    else:
+        raise RuntimeError("no seed tells all sets apart")
 
     # Lists of the members of extended prefixes that several groups share.
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = nodes.filter("node = lead").select("node", "n", "prefix").mapInArrow(_packed(buckets, percent), "bucket int, member binary, node binary, plain binary")
-    entries = space.keep(packed.groupBy("bucket").applyInArrow(_lists, "member long, lead long, in_plain boolean, frequent boolean"), "entries")
+    packed = own.select("text").mapInArrow(_packed(words, percent, buckets), PACKED_SCHEMA)
+    entries = space.keep(packed.groupBy("bucket").applyInArrow(_lists, "member long, gk long, in_plain boolean, frequent boolean"), "entries")
     p = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    spare = F.least(F.col("n"), 2 * p + 4) - p
-    crowded = entries.filter("frequent").groupBy("lead").agg(F.count("*").alias("frequents"))
-    known = nodes.select("node", "lead", "n", "sketch").join(crowded, "lead", "left").select("node", "lead", "n", "sketch", (F.coalesce("frequents", F.lit(0)) > spare).alias("plain"))
+    spare = F.least(F.col("n"), p + F.floor(p / 2) + 4) - p
+    crowded = entries.filter("frequent").groupBy("gk").agg(F.count("*").alias("frequents"))
+    leads = nodes.groupBy("gk").agg(F.min("node").alias("lead"))
+    known = nodes.join(leads, "gk").join(crowded, "gk", "left").select("node", "gk", "lead", "n", "sketch", (F.coalesce("frequents", F.lit(0)) > spare).alias("plain"))
     known = space.keep(known, "known")
-    useful = entries.join(known.filter("node = lead").select("lead", "plain"), "lead")
-    lists = useful.groupBy("member").agg(F.count("*").alias("size"), F.max("plain").alias("any_plain")).filter("size > 1").filter("any_plain OR size <= %d" % FREQUENT)
-
-    # First an edge for each node.
-    first = entries.join(lists.select("member", "size"), "member").join(known.filter("node = lead"), "lead")
-    block = F.pmod(F.xxhash64("node", "member"), F.ceil(F.col("size") / F.lit(LIST)))
-    first = first.select("member", block.cast("long").alias("block"), "node", "n", "sketch", "frequent", "plain", "in_plain", F.lit(0).cast("long").alias("kind"), F.lit(-1).cast("long").alias("side"))
-    edges = _edges(first, percent, True).union(known.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
-    texts = own.dropDuplicates(["doc_id", "tk"])
-    links = space.keep(_links(edges, nodes, texts, words, percent), "links")
+    leaders = known.filter("node = lead")
+    # Frequent members serve plain nodes alone, and those by the pure hash order.
+    often = entries.filter("frequent AND in_plain").join(leaders.select("gk", "plain"), "gk")
+    sizes = often.groupBy("member").agg(F.count("*").alias("size"), F.max("plain").alias("any_plain")).filter("any_plain").select("member", "size")
+    sizes = space.keep(sizes, "sizes")
+    rare = entries.filter("NOT frequent").withColumn("size", F.lit(0).cast("long"))
+    lists = rare.unionByName(entries.filter("frequent AND in_plain").join(sizes, "member"))
+
+    # First the pairs of short lists, and an edge for each node.
+    block = F.pmod(F.xxhash64("node", "member"), F.greatest(F.ceil(F.col("size") / F.lit(LIST)), F.lit(1)))
+    first = lists.join(leaders, "gk").withColumns({"block": block, "kind": F.lit(0).cast("long"), "side": F.lit(-1).cast("long")})
+    edges = _edges(first, percent, True).union(known.filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")))
+    edges = space.keep(edges, "edges")
+    links = space.keep(_links(edges, nodes, own, words, percent, space, "first"), "links")
     labels = classes(links, space, "first")
 
     # Then whatever may still connect two classes.
-    classed = known.join(labels, "node", "left").select("node", "lead", "n", "sketch", "plain", F.coalesce("label", "node").alias("kind"))
-    members = entries.join(lists.select("member"), "member", "left_semi").join(classed, "lead")
-    mixed = members.groupBy("member").agg(F.count("*").alias("size"), F.min("kind").alias("low"), F.max("kind").alias("high")).filter("low < high").select("member", "size")
-    blocks = F.ceil(F.col("size") / F.lit(LIST)).cast("long")
-    second = members.join(mixed, "member").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    second = second.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    classed = known.join(labels, "node", "left").select("node", "gk", "n", "sketch", "plain", F.coalesce("label", "node").alias("kind"))
+    kinds = classed.groupBy("gk").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.count("*").alias("own"))
+    mixed_lists = lists.join(kinds, "gk").groupBy("member").agg(F.count("*").alias("groups"), F.sum("own").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("own").alias("most"))
+    left = mixed_lists.filter("low < high").filter((F.col("groups") > SHORT) | (F.col("most") > 1)).select("member", "total")
+    second = lists.drop("size").join(left, "member").join(classed, "gk").withColumn("blocks", F.ceil(F.col("total") / F.lit(LIST)).cast("long"))
+    second = second.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    second = second.select("member", pair.alias("block"), "node", "n", "sketch", "frequent", "plain", "in_plain", "kind", F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own")).alias("side"))
-    more = _edges(second, percent, False).join(links, ["a", "b"], "left_anti")
-    more = space.keep(_links(more, nodes, texts, words, percent), "more-links")
-    labels = labels if more.isEmpty() else classes(links.unionByName(more), space, "second")
+    second = second.withColumns({"block": pair, "side": F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own"))})
+    more = space.keep(_edges(second, percent, False).join(edges, ["a", "b"], "left_anti"), "more-edges")
+    if not more.isEmpty():
+        found = space.keep(_links(more, nodes, own, words, percent, space, "second"), "more-links")
+        labels = classes(links.unionByName(found), space, "second")
 
     # The smallest id of each class, and back to the rows.
-    of_set = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = of_set.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    of_set = of_set.join(least, "label").select("fa", "fb", "label", "component_id")
-    placed = rows.select("doc_id", "uid", "tk", "n", "fa", "fb").join(of_set, ["fa", "fb"], "left")
-    placed = placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "uid", "tk", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("uid")).alias("label"))
-    keeper = placed.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("absent"), "doc_id", "uid")).alias("keeper"))
-    return placed.join(keeper, "label").select("doc_id", "n_shingles", "component_id", (F.col("uid") == F.col("keeper.uid")).alias("keeps"), "uid", "tk")
+    of_node = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_node = of_node.join(least, "label").select(F.col("node").alias("fa"), "label", "component_id")
+    placed = rows.select("doc_id", "uid", "tk", "n", "fa").join(of_node, "fa", "left")
+    some = F.col("n") > 0
+    placed = placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "uid", "tk", "n", F.when(some, F.col("label")).otherwise(F.col("uid")).alias("label"))
+    keeper = placed.groupBy("label", some.alias("some")).agg(F.min(F.struct(F.isnull("doc_id").alias("absent"), "doc_id", "uid")).alias("keeper"))
+    same = (F.col("p.label") == F.col("k.label")) & ((F.col("p.n") > 0) == F.col("k.some"))
+    return placed.alias("p").join(keeper.alias("k"), same).select("p.doc_id", "n_shingles", "component_id", (F.col("uid") == F.col("keeper.uid")).alias("keeps"), "uid", "tk")
 
 
 def _edges(entries: DataFrame, percent: int, one_each: bool) -> DataFrame:
@@ -341,11 +388,12 @@ def _edges(entries: DataFrame, percent: int, one_each: bool) -> DataFrame:
     return dealt.mapInArrow(_candidates(percent, one_each), "a long, b long").distinct()
 
 
-def _links(edges: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The edges (a, b) whose sets are similar enough, on whole texts."""
+def _links(edges: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int, space: Workspace, name: str) -> DataFrame:
+    """The edges (a, b) whose sets are similar enough, on whole texts. Texts that no edge needs aren't shuffled."""
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     keyed = nodes.select("node", "doc_id", "tk").join(ends, "node")
     same = F.col("t.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("t.tk") == F.col("k.tk"))
-    known = texts.alias("t").join(keyed.alias("k"), same).select("k.node", "t.text")
+    known = with_keys(texts, keyed, ["doc_id", "tk"]).alias("t").join(keyed.alias("k"), same).select("k.node", "t.text").dropDuplicates(["node"])
+    known = space.keep(known, f"{name}-texts")
     paired = edges.join(known.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(known.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return paired.select("a", "b", "text_a", "text_b").mapInArrow(_verified(words, percent), "a long, b long")

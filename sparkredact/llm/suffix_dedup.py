@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_slices
+from .common import Workspace, binary_slices, with_keys
 
 MIN_LENGTH = 50
 #: Bytes of the strings whose hashes are compared, runs a piece on average, and windows of a run at most.
-SEED, CHUNK, LONGEST_RUN = 16, 16, 256
-#: Bytes of a block that is expanded at once; a single minimiser's runs may exceed it up to SPLIT, then its windows are dealt anew.
+SEED, CHUNK, LONGEST_RUN = 24, 16, 256
+#: Bytes of a block that is expanded at once, unless one minimiser's runs exceed it.
 BLOCK = 4 << 20
 #: Distinct pieces with one minimiser from which its windows are dealt by their own hash.
 CROWDED = 20_000
@@ -133,9 +133,12 @@ def minima(data: np.ndarray, length: int) -> np.ndarray:
     n = len(data) - SEED + 1
     if len(data) < length:
         return np.zeros(0, np.uint64)
-    word = np.ndarray((n + 8,), "<u8", data, strides=(1,))
+    word = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     with np.errstate(over="ignore"):
-        least = _mixed(word[:n] * np.uint64(0x9E3779B97F4A7C15) + word[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
+        least = word[:n] * np.uint64(0x9E3779B97F4A7C15)
+        for at in {*range(8, SEED - 7, 8), SEED - 8}:
+            least += word[at : at + n] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * at)
+        least = _mixed(least)
     span, want = 1, length - SEED + 1
     while span * 2 <= want:
         least = np.minimum(least[:-span], least[span:])
@@ -183,6 +186,17 @@ def _digests(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarr
     return np.frombuffer(b"".join([digest(view[b:e]) for b, e in zip(begins.tolist(), ends.tolist())]), np.int64).reshape(-1, 2)
 
 
+#: Bits of a minimiser that are told apart besides those of its bucket. Minimisers that collide only deal more into a block.
+LOW = np.uint64(40)
+
+
+def named(least: np.ndarray, buckets: int) -> np.ndarray:
+    """Minimisers as bucket and LOW bits."""
+    with np.errstate(over="ignore"):
+        spread = least * np.uint64(0x9E3779B97F4A7C15)
+    return (((spread >> LOW) % np.uint64(buckets)) << LOW) | (spread & ((np.uint64(1) << LOW) - np.uint64(1)))
+
+
 PIECES = "ha long, hb long, doc long, tk long, start int, windows int"
 
 
@@ -215,27 +229,27 @@ def _minimisers(length: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]
             if not parts:
                 continue
             least, piece = (np.concatenate(x) for x in zip(*parts))
-            with np.errstate(over="ignore"):
-                least = least * np.uint64(0x9E3779B97F4A7C15)
-            bucket = (least >> np.uint64(40)) % np.uint64(buckets)
-            way = np.lexsort((piece, least, bucket))
-            bucket, least, piece = bucket[way], least[way], piece[way]
+            least = named(least, buckets)
+            way = np.lexsort((piece, least))
+            least, piece = least[way], piece[way]
             if len(way):
                 new = np.ones(len(way), bool)
                 new[1:] = (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])
-                bucket, least, piece = bucket[new], least[new], piece[new]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = [(b, least[i:j].tobytes(), piece[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "least", "piece"]
-            )
+                least, piece = least[new], piece[new]
+            cuts = np.searchsorted(least >> LOW, np.arange(buckets + 1, dtype=np.uint64)).tolist()
+            four, one = least.astype(np.uint32), (least >> np.uint64(32)).astype(np.uint8)
+            rows = [(b, four[i:j].tobytes(), one[i:j].tobytes(), piece[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["bucket", "four", "one", "piece"])
 
     return found
 
 
 def _shared(group: pa.Table) -> pa.Table:
     """The (minimiser, piece) pairs of a bucket whose minimiser has several pieces, and whether it has very many."""
-    least = np.frombuffer(b"".join(group.column("least").to_pylist()), np.uint64)
+    least = np.frombuffer(b"".join(group.column("four").to_pylist()), np.uint32).astype(np.uint64)
+    least |= np.frombuffer(b"".join(group.column("one").to_pylist()), np.uint8).astype(np.uint64) << np.uint64(32)
+    least |= np.uint64(group.column("bucket")[0].as_py()) << LOW
     piece = np.frombuffer(b"".join(group.column("piece").to_pylist()), np.int64)
     way = np.lexsort((piece, least))
     least, piece = least[way], piece[way]
@@ -246,17 +260,16 @@ def _shared(group: pa.Table) -> pa.Table:
     count = np.diff(np.append(begin, len(least)))
     count = np.repeat(count, count)
     many = count > 1
-    with np.errstate(over="ignore"):
-        back = least[many] * np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-    return pa.table({"ha": piece[many], "least": back.view(np.int64), "crowded": count[many] > CROWDED})
+    return pa.table({"ha": piece[many], "least": least[many].view(np.int64), "crowded": count[many] > CROWDED})
 
 
-def _all_runs(column: pa.Array, length: int) -> Iterator[tuple]:
+def _all_runs(column: pa.Array, length: int, buckets: int) -> Iterator[tuple]:
     for first, data, offsets in binary_slices(column):
-        yield first, data, offsets, *runs(data, offsets, length)
+        start, end, least, doc = runs(data, offsets, length)
+        yield first, data, offsets, start, end, named(least, buckets).view(np.int64), doc
 
 
-def _contexts(length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _contexts(length: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The texts of the asked runs: key, doc, tk, place of the first byte, text."""
 
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,9 +278,9 @@ def _contexts(length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
         for batch in batches:
             ids, tks, asked = (batch.column(i).to_pylist() for i in (0, 1, 3))
             out: list[tuple] = []
-            for first, d, data, offsets, start, end, least, doc in ((first, d, *rest) for first, *rest in _all_runs(batch.column(2), length) for d in range(len(rest[1]) - 1)):
+            for first, d, data, offsets, start, end, names, doc in ((first, d, *rest) for first, *rest in _all_runs(batch.column(2), length, buckets) for d in range(len(rest[1]) - 1)):
                 i, j = np.searchsorted(doc, [d, d + 1])
-                begin, stop, low, base, raw = start[i:j], end[i:j], least[i:j].view(np.int64), int(offsets[d]), memoryview(data)
+                begin, stop, low, base, raw = start[i:j], end[i:j], names[i:j], int(offsets[d]), memoryview(data)
                 for ask in asked[first + d]:
                     a, b = np.searchsorted(begin, [base + ask["start"], base + ask["start"] + ask["windows"]])
                     crowd = {x["least"]: x["crowded"] for x in ask["keys"]}
@@ -371,16 +384,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = placed.filter("doc > first").select("doc", "tk", F.col("start").cast("long").alias("begin"), (F.col("start") + F.col("windows") + min_length - 1).cast("long").alias("end"))
 
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = long_enough.select("text").mapInArrow(_minimisers(min_length, buckets), "bucket int, least binary, piece binary")
+    packed = long_enough.select("text").mapInArrow(_minimisers(min_length, buckets), "bucket int, four binary, one binary, piece binary")
     shared = packed.groupBy("bucket").applyInArrow(_shared, "ha long, least long, crowded boolean")
     keys = space.keep(shared.groupBy("ha").agg(F.collect_list(F.struct("least", "crowded")).alias("keys")), "keys")
     asked = placed.filter("doc = first").join(keys, "ha").groupBy("doc", "tk").agg(F.collect_set(F.struct("start", "windows", "keys")).alias("asked"))
-    contexts = long_enough.select("doc", "tk", "text").join(asked, ["doc", "tk"]).select("doc", "tk", "text", "asked")
-    contexts = contexts.mapInArrow(_contexts(min_length), "key long, doc long, tk long, place int, text binary")
+    asked = space.keep(asked, "asked")
+    contexts = with_keys(long_enough.select("doc", "tk", "text"), asked, ["doc", "tk"]).join(asked, ["doc", "tk"]).select("doc", "tk", "text", "asked")
+    contexts = contexts.mapInArrow(_contexts(min_length, buckets), "key long, doc long, tk long, place int, text binary")
     blocks = contexts.repartition("key").sortWithinPartitions("key")
     spans = blocks.mapInArrow(_spans(min_length), "doc long, tk long, begin long, end long").unionByName(copies)
     spans = space.keep(spans.groupBy("doc", "tk").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
-    marked = own.join(spans, ["doc", "tk"], "left").select("doc_id", "text", "spans")
+    # Documents of which nothing goes aren't shuffled.
+    touched = with_keys(own, spans, ["doc", "tk"]).join(spans, ["doc", "tk"], "left").select("doc_id", "text", "spans")
+    whole = with_keys(own, spans, ["doc", "tk"], "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    marked = touched.unionByName(whole)
     if digest_only:
         return marked.mapInArrow(_summary, f"{MARKED}, kept_sha256 string")
     return marked.mapInArrow(_marked, f"{MARKED}, kept binary")

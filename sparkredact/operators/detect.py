@@ -58,6 +58,15 @@ def _check(name: str | None, term: Column) -> Column:
     return getattr(T, name)(term)
 
 
+def _passes(check: str | None):
+    return lambda term: (term != "") & _check(check, term)
+
+
+def _match(k: int, category: str):
+    """A term of the k-th pattern and its place among that pattern's."""
+    return lambda term, pos: F.struct(F.lit(k).alias("k"), pos.alias("pos"), term.alias("term"), F.lit(category).alias("category"))
+
+
 def structured(segments: DataFrame, patterns: list[tuple] | None = None) -> DataFrame:
     """Patterns in order on each line. What an earlier pattern took from the line is blanked before the next one looks.
 
@@ -69,11 +78,11 @@ def structured(segments: DataFrame, patterns: list[tuple] | None = None) -> Data
     rows = rows.withColumn("rest", F.regexp_replace("line", TAG, "\u0001"))
     kinds = []
     for k, (category, pattern, group, check) in enumerate(patterns):
-        terms = F.filter(F.regexp_extract_all("rest", F.lit(pattern), F.lit(group)), lambda t, check=check: (t != "") & _check(check, t))
+        terms = F.filter(F.regexp_extract_all("rest", F.lit(pattern), F.lit(group)), _passes(check))
         rows = rows.withColumn(f"p{k}", terms)
         taken = F.aggregate(F.array_distinct(F.col(f"p{k}")), F.col("rest"), lambda done, t: F.replace(done, t, F.lit("\u0001")))
         rows = rows.withColumn("rest", F.when(F.size(f"p{k}") > 0, taken).otherwise(F.col("rest")))
-        kinds.append(F.transform(f"p{k}", lambda t, i, k=k, category=category: F.struct(F.lit(k).alias("k"), i.alias("pos"), t.alias("term"), F.lit(category).alias("category"))))
+        kinds.append(F.transform(f"p{k}", _match(k, category)))
     found = rows.select("doc_id", "line_number", F.explode(F.concat(*kinds)).alias("m")).select("doc_id", "line_number", "m.*")
     return detections(found, "structured", [F.col("k"), F.col("pos")], F.col("term"), F.col("category"))
 
@@ -101,10 +110,6 @@ def title_case_tokens(segments: DataFrame) -> DataFrame:
     return rows.filter(F.col("piece").rlike(r"^[A-Z][a-z]+(?:-[A-Z][a-z]+)*$")).select("doc_id", "line_number", "pos", F.col("piece").alias("word"), "start", (F.col("start") + F.length("piece")).alias("stop"))
 
 
-def _in_list(parts: Column, words: DataFrame | list[str]) -> Column:
-    return F.exists(parts, lambda p: F.array_contains(F.array(*map(F.lit, words)), p))
-
-
 def dictionary_names(segments: DataFrame, names: list[str] | DataFrame | None = None, common: list[str] | DataFrame | None = None) -> DataFrame:
     """Names of a dictionary. One that is a common word too counts only next to one that isn't.
 
@@ -145,7 +150,7 @@ def custom_words(segments: DataFrame, lists: list[dict], mask: bool = True) -> D
     for k, (category, words) in enumerate(by_category.items()):
         quoted = "|".join(r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" for w in sorted(words, key=len, reverse=True))
         terms = F.regexp_extract_all("text", F.lit(rf"(?iuU)\b(?:{quoted})\b"), F.lit(0))
-        found.append(F.transform(terms, lambda t, i, k=k, category=category: F.struct(F.lit(k).alias("k"), i.alias("pos"), t.alias("term"), F.lit(category).alias("category"))))
+        found.append(F.transform(terms, _match(k, category)))
     rows = rows.select("doc_id", "line_number", "cell", F.explode(F.concat(*found)).alias("m")).select("doc_id", "line_number", "cell", "m.*")
     return detections(rows, "custom", [F.col("cell"), F.col("k"), F.col("pos")], F.col("term"), F.col("category"))
 

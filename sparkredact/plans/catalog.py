@@ -1,4 +1,658 @@
-"""Every registered query of the library proper, with its DuckDB twin."""
+"""Every registered query of the library proper, with its DuckDB twin.
+
+Queries on the driver's tables read whole tables and whole texts. Small inputs that the tables don't have (titles, company
+names, headers, label streams) are VALUES lists that both sides share.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vocabulary as V
+from ..functions.python import sound_code_udf
+from ..operators import columns, detect, lookup, models, replay, scoring, segments, similarity
+from ..options import Options
+from .engine import Engine
+from .exact import redact_exactly
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM (VALUES {rows}) AS t({columns})")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.segments_of_texts(table(spark, sf_dir, "documents"))
+
+
+# Lines of documents as the text source makes them.
+LINES = r"""
+parts AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n') AS a FROM documents),
+kept AS (SELECT doc_id, CASE WHEN a[len(a)] = '' THEN a[1:len(a) - 1] ELSE a END AS a FROM parts),
+lines AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS line_number, unnest(a) AS line FROM kept)"""
+
+# ---- sources and segments ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LINES} SELECT doc_id::VARCHAR AS doc_id, count(*) AS n_lines, max(length(line)) AS max_len, sum(length(line))::BIGINT AS n_chars FROM lines GROUP BY doc_id")
+def seg_lines(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.length(segments.line_text()).alias("n"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("n").cast("long").alias("max_len"), F.sum("n").alias("n_chars"))
+
+
+@query("SELECT conv_id, count(*) AS n_turns, (sum(length(text)) + 3 * (count(*) - 1))::BIGINT AS text_len FROM conversations GROUP BY conv_id")
+def seg_conversation_lines(spark, sf_dir):
+    """A conversation as one line whose cells are its turns."""
+    cell = F.struct(F.col("text"), F.lit(None).cast("string").alias("sheet_name"), F.lit(0).alias("row_index"), F.col("turn").cast("int").alias("col_index"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("cell")))).alias("turns"))
+    rows = rows.select("conv_id", F.transform("turns", lambda t: t["cell"]).alias("cells"))
+    return rows.select("conv_id", F.size("cells").cast("long").alias("n_turns"), F.length(segments.line_text()).cast("long").alias("text_len"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[.!?][ \t\n\r\f\v]+')) + 1 AS n_sentences FROM documents")
+def split_sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences("text")).cast("long").alias("n_sentences"))
+
+
+@query()
+def split_long_lines(spark, sf_dir):
+    rows = segments.split_long_lines(_docs(spark, sf_dir), 500)
+    return rows.groupBy("doc_id", "line_number").agg(F.count("*").alias("n_chunks"), F.max(F.length(segments.line_text())).alias("max_len")).filter("n_chunks > 1")
+
+
+@query(f"WITH {LINES} SELECT doc_id::VARCHAR AS doc_id, line_number, md5(line) AS line_md5 FROM lines WHERE length(line) <= 500")
+def reunify_sublines(spark, sf_dir):
+    whole = segments.reunify_sublines(segments.split_long_lines(_docs(spark, sf_dir), 500))
+    return whole.filter(F.size("cells") == 1).select("doc_id", F.col("line_number").cast("long").alias("line_number"), F.md5(segments.line_text()).alias("line_md5"))
+
+
+HEADERS = "(1, 'Email'), (2, 'Manager Email'), (3, ' First Name '), (4, 'Birth Date'), (5, 'Company Phone'), (6, 'xyz'), (7, 'ID'), (8, 'Row number'), (9, 'Postal Code'), (10, 'State of play'), (11, 'Job Title')"
+_KNOWN = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(V.HEADER_SUGGESTIONS.items()))
+
+
+@query(
+    f"WITH h AS (SELECT * FROM (VALUES {HEADERS}) t(id, header)), s AS (SELECT * FROM (VALUES {_KNOWN}) t(i, k, v)) "
+    "SELECT id, header, coalesce((SELECT v FROM s WHERE k = lower(trim(header))), (SELECT arg_min(v, i) FROM s WHERE contains(lower(trim(header)), k)), 'Freetext') AS category FROM h"
+)
+def header_suggest(spark, sf_dir):
+    return values(spark, HEADERS, "id, header").select("id", "header", T.suggest_category("header").alias("category"))
+
+
+# ---- scalar functions ---------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT p_partkey, trim(regexp_replace(replace(regexp_replace(lower(p_type || '-' || p_name || '''S  ' || p_brand), '[''’]', '', 'g'), '-', ' '), '\s+', ' ', 'g')) AS norm_key FROM part")
+def normalize_keys(spark, sf_dir):
+    term = F.concat("p_type", F.lit("-"), "p_name", F.lit("'S  "), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", T.normalize_key(term).alias("norm_key"))
+
+
+@query(r"""
+WITH s AS (
+  SELECT o_orderkey, (o_orderkey % 40) || '/' || (o_orderkey % 14) || '/' || CASE WHEN o_orderkey % 3 = 0 THEN '' || (1850 + o_orderkey % 300) WHEN o_orderkey % 3 = 1 THEN right('0' || (o_orderkey % 100), 2) ELSE '123' END AS d,
+         lpad((o_orderkey * 7919 % 1000000)::VARCHAR, 6, '0') AS six, lpad((o_orderkey * 104729 % 100000000)::VARCHAR, 8, '0') AS eight
+  FROM orders),
+p AS (SELECT *, regexp_extract(d, '^(\d+)/', 1)::INT AS a, regexp_extract(d, '/(\d+)/', 1)::INT AS b, regexp_extract(d, '(\d+)$', 1) AS y FROM s)
+SELECT o_orderkey, d,
+  (length(y) = 2 OR (length(y) = 4 AND y::INT BETWEEN 1900 AND 2099)) AND ((a BETWEEN 1 AND 12 AND b BETWEEN 1 AND 31) OR (b BETWEEN 1 AND 12 AND a BETWEEN 1 AND 31)) AS is_date,
+  ((six[3:4]::INT BETWEEN 1 AND 12 AND six[5:6]::INT BETWEEN 1 AND 31) OR (six[1:2]::INT BETWEEN 1 AND 12 AND six[3:4]::INT BETWEEN 1 AND 31) OR (six[3:4]::INT BETWEEN 1 AND 12 AND six[1:2]::INT BETWEEN 1 AND 31)) AS six_is_date,
+  ((eight[5:6]::INT BETWEEN 1 AND 12 AND eight[7:8]::INT BETWEEN 1 AND 31) OR (eight[3:4]::INT BETWEEN 1 AND 12 AND eight[1:2]::INT BETWEEN 1 AND 31) OR (eight[1:2]::INT BETWEEN 1 AND 12 AND eight[3:4]::INT BETWEEN 1 AND 31)) AS eight_is_date
+FROM p""")
+def plausible_dates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    year = F.when(k % 3 == 0, (F.lit(1850) + k % 300).cast("string")).when(k % 3 == 1, F.lpad((k % 100).cast("string"), 2, "0")).otherwise("123")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("/", (k % 40).cast("string"), (k % 14).cast("string"), year).alias("d"), F.lpad((k * 7919 % 1000000).cast("string"), 6, "0").alias("six"), F.lpad((k * 104729 % 100000000).cast("string"), 8, "0").alias("eight"))
+    return rows.select("o_orderkey", "d", T.plausible_date("d").alias("is_date"), T.plausible_numeric_date("six").alias("six_is_date"), T.plausible_numeric_date("eight").alias("eight_is_date"))
+
+
+LUHN = "list_sum([CASE WHEN i % 2 = 1 THEN d WHEN 2 * d > 9 THEN 2 * d - 9 ELSE 2 * d END FOR d, i IN list_reverse([c::INT FOR c IN string_split(digits, '')])]) % 10 = 0"
+LUHN = "list_sum(list_transform(list_reverse(string_split(digits, '')), lambda c, i: CASE WHEN i % 2 = 1 THEN try_cast(c AS INT) WHEN 2 * try_cast(c AS INT) > 9 THEN 2 * try_cast(c AS INT) - 9 ELSE 2 * try_cast(c AS INT) END)) % 10 = 0"
+
+
+@query(f"WITH s AS (SELECT o_orderkey, lpad((o_orderkey * 7919)::VARCHAR, 12 + (o_orderkey % 6)::INT, '4') AS digits FROM orders) SELECT o_orderkey, digits, length(digits) >= 13 AND {LUHN} AS is_card FROM s")
+def luhn_numbers(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("lpad(cast(o_orderkey * 7919 AS string), cast(12 + o_orderkey % 6 AS int), '4')").alias("digits"))
+    return rows.select("o_orderkey", "digits", T.luhn("digits").alias("is_card"))
+
+
+PHONES = "(1, '+1-202-555-0173'), (2, '+44 7700 900123'), (3, '(555) 123-4567'), (4, '123456'), (5, '1234567890123456'), (6, '1.2.3.4.5'), (7, '10.23.456'), (8, '555-123-4567'), (9, '555.123.4567'), (10, '5551234567 ext 8'), (11, '020 1234 5678')"
+
+
+@query(
+    f"SELECT id, s, length(regexp_replace(s, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 AND NOT regexp_full_match(s, '\\d{{1,3}}(\\.\\d{{1,3}}){{2,}}') "
+    f"AND (regexp_matches(s, '[+()]') OR contains(lower(s), 'x') OR regexp_full_match(trim(s), '\\d{{3}}-\\d{{3}}-\\d{{4}}')) AS is_phone FROM (VALUES {PHONES}) t(id, s)"
+)
+def plausible_phones(spark, sf_dir):
+    return values(spark, PHONES, "id, s").select("id", "s", T.plausible_phone("s").alias("is_phone"))
+
+
+PLACES = "(1, 'Oak Lane'), (2, 'Lake Como'), (3, 'Gonzalezland'), (4, 'Jane Smith'), (5, 'Smithville Jones'), (6, 'Avenue Road'), (7, 'north by'), (8, 'Jane')"
+
+
+@query(
+    f"WITH s AS (SELECT id, s, string_split(lower(s), ' ') AS w FROM (VALUES {PLACES}) t(id, s)) SELECT id, s, list_contains([{', '.join(repr(w) for w in V.ADDRESS_WORDS)}], w[1]) "
+    f"OR list_contains([{', '.join(repr(w) for w in V.ADDRESS_WORDS)}], w[-1]) OR len(list_filter(w, lambda x: regexp_matches(x, '({'|'.join(V.PLACE_SUFFIXES)})$'))) > 0 AS is_address FROM s"
+)
+def address_like(spark, sf_dir):
+    return values(spark, PLACES, "id, s").select("id", "s", T.looks_like_address("s").alias("is_address"))
+
+
+_SHARES = "list_transform(list_distinct(string_split({t}, '')), lambda c: (length({t}) - length(replace({t}, c, '')))::DOUBLE / length({t}))"
+
+
+@query(f"SELECT p_partkey, round(-list_sum(list_transform({_SHARES.format(t='p_name')}, lambda p: p * log2(p))), 6) AS entropy FROM part")
+def shannon_entropies(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(T.shannon_entropy("p_name"), 6).alias("entropy"))
+
+
+@query("SELECT event_type, round(avg(value) / 100, 6) AS p, round(26 * (avg(value) / 100) * 0.5 / (25 * (avg(value) / 100) + 0.5), 6) AS f5 FROM events GROUP BY event_type")
+def f_beta_scores(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg((F.avg("value") / 100).alias("p"))
+    return rows.select("event_type", F.round("p", 6).alias("p"), F.round(T.f_beta("p", F.lit(0.5)), 6).alias("f5"))
+
+
+LABELS = "(1, 'B-GIVENNAME'), (2, 'I-surname'), (3, 'O'), (4, 'ZIPCODE'), (5, 'B-PASSWORD'), (6, 'GPE'), (7, 'NOSUCH'), (8, 'TITLE')"
+
+
+@query(f"SELECT id, label, map {{{', '.join(f'{k!r}: {v!r}' for k, v in V.ENCODER_LABELS.items())}}}[upper(regexp_replace(label, '^[BI]-', ''))] AS category FROM (VALUES {LABELS}) t(id, label)")
+def label_map(spark, sf_dir):
+    return values(spark, LABELS, "id, label").select("id", "label", T.encoder_category("label").alias("category"))
+
+
+# ---- detection -------------------------------------------------------------------------------------------------------
+
+EMAIL_RE2 = r"[\p{L}\p{N}_][\p{L}\p{N}_.-]*@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]{2,}"
+
+
+def _counted(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    return found.groupBy(F.col("doc_id").alias(key), F.col("original").alias("term")).agg(F.count("*").alias("n"))
+
+
+def _oracle_terms(pattern: str, where: str = "true", source: str = "line") -> str:
+    return f"WITH {LINES}, m AS (SELECT doc_id, unnest(regexp_extract_all({source}, '{pattern}')) AS term FROM lines) SELECT doc_id::VARCHAR AS doc_id, term, count(*) AS n FROM m WHERE {where} GROUP BY doc_id, term"
+
+
+@query(_oracle_terms(EMAIL_RE2))
+def detect_email(spark, sf_dir):
+    return _counted(detect.emails(_docs(spark, sf_dir)))
+
+
+OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
+
+
+@query(_oracle_terms(rf"\b(?:{OCTET}\.){{3}}{OCTET}\b"))
+def detect_ip(spark, sf_dir):
+    return _counted(detect.structured(_docs(spark, sf_dir)).filter("category = 'IP'"))
+
+
+PHONE_RE2 = r"\+\d{1,3}[\s.-]?\(?\d{1,5}\)?(?:[\s.-]?\d{1,5}){1,4}|\(\d{3}\)[\s.-]?\d{3}[\s.-]?\d{4}|\b\d{3}-\d{3}-\d{4}\b"
+
+
+@query(_oracle_terms(PHONE_RE2, "length(regexp_replace(term, '[^0-9]', '', 'g')) BETWEEN 7 AND 15"))
+def detect_phone(spark, sf_dir):
+    return _counted(detect.structured(_docs(spark, sf_dir)).filter("category = 'PHONE'"))
+
+
+@query(_oracle_terms(r"\b\d{13,19}\b", LUHN.replace("digits", "term")))
+def detect_card(spark, sf_dir):
+    return _counted(detect.structured(_docs(spark, sf_dir)).filter("category = 'ID'"))
+
+
+@query(r"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html || ' ' || url, 'https?://[^\s<>"'')\]]+')) AS term FROM pages) SELECT page_id::VARCHAR AS page_id, term, count(*) AS n FROM m GROUP BY page_id, term""")
+def detect_url(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "html", "url").alias("text"))
+    return _counted(detect.structured(segments.segments_of_texts(pages, "page_id"), V.STRUCTURED[:1]), "page_id")
+
+
+LETTER = (
+    "(1, 'Acme Widgets Ltd met Jane Smith at NASA and Dr Lucia Garcia on 12/04/1988'), (2, 'We Trust Prof. OBrien and Mr Li Bo; SSN 078-05-1120, card 4111 1111 1111 1111'), "
+    "(3, 'North Hill University, AB 12 34 56 C, SW1A 1AA, D02 VK60, CA 90210 and 90210-1234'), (4, 'Passport number: L1234567 via https://a.example/x?y=1, ftp://b.example and www.c.example/z'), "
+    "(5, 'Version 1.2.3.4.5 at 10.0.0.1, call 555-123-4567 or +44 7700 900123'), (6, 'Mr the quick fox; Mrs Jane Anne Doe; 99/99/2024; 1234 5678 9012 3456'), (7, 'already [NAME 1] works at [ORG 2], see Rose Park')"
+)
+
+
+def _letter(spark: SparkSession) -> DataFrame:
+    return segments.segments_of_texts(values(spark, LETTER, "doc_id, text"))
+
+
+def _re2(java: str) -> str:
+    return java.replace("(?U)", "").replace("(?iU)", "(?i)").replace("'", "''")
+
+
+@query(f"WITH d AS (SELECT * FROM (VALUES {LETTER}) t(doc_id, text)) SELECT doc_id::VARCHAR AS doc_id, unnest(regexp_extract_all(text, '{_re2(V.ORG)}')) AS term FROM d")
+def detect_org_suffix(spark, sf_dir):
+    return detect.organisations(_letter(spark)).select("doc_id", F.col("original").alias("term"))
+
+
+@query(
+    f"WITH d AS (SELECT * FROM (VALUES {LETTER}) t(doc_id, text)), n AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '{_re2(V.TITLED_NAME)}', 1))) AS term FROM d), "
+    "w AS (SELECT doc_id, unnest(string_split(term, ' ')) AS word, term FROM n WHERE contains(term, ' ')) "
+    "SELECT doc_id::VARCHAR AS doc_id, term, NULL::VARCHAR AS alias_of FROM n UNION ALL SELECT doc_id::VARCHAR, word, term FROM w WHERE length(word) >= 3"
+)
+def detect_titled_names(spark, sf_dir):
+    return detect.titled_names(_letter(spark)).select("doc_id", F.col("original").alias("term"), "alias_of")
+
+
+def _structured_sql() -> str:
+    """The patterns one after the other, each on what those before have left."""
+    steps, last = [f"r0 AS (SELECT doc_id, regexp_replace(text, '\\[[^\\]]*\\]', chr(1), 'g') AS rest FROM (VALUES {LETTER}) t(doc_id, text))"], []
+    checks = {
+        None: "true",
+        "plausible_phone": "length(regexp_replace(term, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 AND (regexp_matches(term, '[+()]') OR regexp_full_match(term, '\\d{3}-\\d{3}-\\d{4}'))",
+        "plausible_date": "regexp_extract(term, '^(\\d+)', 1)::INT BETWEEN 1 AND 31 AND regexp_extract(term, '[/-](\\d+)[/-]', 1)::INT BETWEEN 1 AND 31",
+        "luhn_if_digits": "NOT regexp_full_match(term, '[\\d\\s-]{13,}') OR "
+        + LUHN.replace("digits", "regexp_replace(term, '[^0-9]', '', 'g')"),
+    }
+    for k, (category, pattern, group, check) in enumerate(V.STRUCTURED):
+        p = _re2(pattern)
+        if p.startswith("(?<="):
+            p, group = r"\b[A-Z]{2}\s(\d{5})\b", 1
+        steps.append(f"m{k} AS (SELECT doc_id, unnest(regexp_extract_all(rest, '{p}', {group})) AS term FROM r{k})")
+        steps.append(f"k{k} AS (SELECT doc_id, term FROM m{k} WHERE {checks[check]})")
+        steps.append(f"r{k + 1} AS (SELECT doc_id, list_reduce((SELECT coalesce(list(DISTINCT term), []) FROM k{k} WHERE k{k}.doc_id = r{k}.doc_id), lambda acc, t: replace(acc, t, chr(1)), rest) AS rest FROM r{k})")
+        last.append(f"SELECT doc_id::VARCHAR AS doc_id, '{category}' AS category, term FROM k{k}")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(last)
+
+
+@query(_structured_sql())
+def detect_structured_all(spark, sf_dir):
+    return detect.structured(_letter(spark)).select("doc_id", "category", F.col("original").alias("term"))
+
+
+@query(f"""
+WITH {LINES}, m AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(line, '\\[[^\\]]*\\]', chr(1), 'g'), '\\b[A-Za-z0-9_-]{{8,}}\\b')) AS term FROM lines),
+g AS (SELECT * FROM m WHERE NOT regexp_full_match(term, '[A-Za-z]+') AND NOT regexp_full_match(term, '[0-9]+') AND NOT regexp_full_match(term, '[a-z]+(?:[_-][a-z]+)+')
+  AND regexp_matches(term, '[A-Z]')::INT + regexp_matches(term, '[a-z]')::INT + regexp_matches(term, '[0-9]')::INT >= 2),
+e AS (SELECT *, -list_sum(list_transform({_SHARES.format(t='term')}, lambda p: p * log2(p))) AS h FROM g)
+SELECT doc_id::VARCHAR AS doc_id, term, round(h, 6) AS entropy, count(*) AS n FROM e WHERE h >= 3.5 GROUP BY ALL""")
+def detect_entropy(spark, sf_dir):
+    return _counted(detect.secrets(_docs(spark, sf_dir))).select("doc_id", "term", F.round(T.shannon_entropy("term"), 6).alias("entropy"), "n")
+
+
+NAMES, USUAL = ["and", "ther", "heon", "der", "ment", "los", "the", "eren", "oned"], ["and", "der", "the", "on"]
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+@query(f"""
+WITH {LINES}, a AS (SELECT doc_id, line_number, regexp_replace(regexp_replace(line, '\\[[^\\]]*\\]', chr(1), 'g'), '[^\\x00-\\x7F]', '_', 'g') AS line FROM lines),
+t AS (SELECT doc_id, line_number, unnest(regexp_extract_all(line, '\\b[A-Z][a-z]+(?:-[A-Z][a-z]+)*\\b')) AS word,
+        unnest(regexp_split_to_array(line, '\\b[A-Z][a-z]+(?:-[A-Z][a-z]+)*\\b')[1:len(regexp_extract_all(line, '\\b[A-Z][a-z]+(?:-[A-Z][a-z]+)*\\b'))]) AS gap_before,
+        unnest(range(1, len(regexp_extract_all(line, '\\b[A-Z][a-z]+(?:-[A-Z][a-z]+)*\\b')) + 1)) AS i FROM a),
+o AS (SELECT *, sum(length(gap_before) + length(word)) OVER (PARTITION BY doc_id, line_number ORDER BY i) AS stop FROM t),
+p AS (SELECT *, string_split(lower(word), '-') AS parts FROM o),
+c AS (SELECT *, stop - length(word) AS start, len(list_filter(parts, lambda w: w IN ({_quoted(USUAL)})
+        OR (length(w) >= 4 AND ((w[-1:] = 's' AND w[:-2] IN ({_quoted(USUAL)})) OR (w[-2:] = 'es' AND w[:-3] IN ({_quoted(USUAL)})) OR (w[-2:] = 'ed' AND (w[:-3] IN ({_quoted(USUAL)}) OR w[:-2] IN ({_quoted(USUAL)})))
+        OR (w[-3:] = 'ing' AND (w[:-4] IN ({_quoted(USUAL)}) OR w[:-4] || 'e' IN ({_quoted(USUAL)}))))))) > 0 AS usual
+      FROM p WHERE len(list_filter(parts, lambda w: w IN ({_quoted(NAMES)}))) > 0 AND len(list_filter(parts, lambda w: w IN ({_quoted(V.NEVER_NAMES)}))) = 0),
+n AS (SELECT *, lag(usual) OVER l AS u1, start - lag(stop) OVER l AS g1, lead(usual) OVER l AS u2, lead(start) OVER l - stop AS g2 FROM c WINDOW l AS (PARTITION BY doc_id, line_number ORDER BY i))
+SELECT doc_id::VARCHAR AS doc_id, word AS term, count(*) AS n FROM n WHERE NOT usual OR coalesce(NOT u1 AND g1 <= 4, false) OR coalesce(NOT u2 AND g2 <= 4, false) GROUP BY ALL""")
+def detect_name_dict(spark, sf_dir):
+    return _counted(detect.dictionary_names(_docs(spark, sf_dir), NAMES, USUAL))
+
+
+LISTS = [{"name": "a", "category": "ORG", "words": ["Apache License", "the apache", " "]}, {"name": "b", "category": "LOCATION", "words": ["version 2", "of the"]}, {"name": "c", "category": "ORG", "words": ["license"]}]
+
+
+@query(f"""
+WITH {LINES}, a AS (SELECT doc_id, regexp_replace(regexp_replace(line, '\\[[^\\]]*\\]', chr(1), 'g'), '[^\\x00-\\x7F]', '_', 'g') AS line FROM lines),
+m AS (SELECT doc_id, 'ORG' AS category, unnest(regexp_extract_all(line, '(?i)\\b(?:Apache License|the apache|license)\\b')) AS term FROM a
+  UNION ALL SELECT doc_id, 'LOCATION', unnest(regexp_extract_all(line, '(?i)\\b(?:version 2|of the)\\b')) FROM a)
+SELECT doc_id::VARCHAR AS doc_id, category, lower(term) AS term, count(*) AS n FROM m GROUP BY ALL""")
+def detect_custom_list(spark, sf_dir):
+    found = detect.custom_words(_docs(spark, sf_dir), LISTS)
+    return found.groupBy("doc_id", "category", F.lower("original").alias("term")).agg(F.count("*").alias("n"))
+
+
+# ---- columns -----------------------------------------------------------------------------------------------------------
+
+
+def _customers(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return segments.segments_of_rows(rows.withColumn("c_custkey", F.col("c_custkey") + 1), "customers", "c_custkey", ["c_name", "n_name", "c_mktsegment"])
+
+
+@query("SELECT (c_custkey + 2)::INT AS line_number, c_name AS term, 'NAME' AS category FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT (c_custkey + 2)::INT, n_name, 'LOCATION' FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def column_map_customer(spark, sf_dir):
+    found = columns.mapped_columns(_customers(spark, sf_dir), {0: "NAME", 1: "LOCATION", 2: "Freetext"})
+    return found.filter("alias_of is null").select("line_number", F.col("original").alias("term"), "category")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, regexp_replace(split_part(p_name, ' ', 1), '[''\\-\\s]', '', 'g') AS f, regexp_replace(split_part(p_name, ' ', 2), '[''\\-\\s]', '', 'g') AS l FROM part),
+v AS (SELECT p_partkey, unnest([f || '.' || l, l || '.' || f, f[1] || '.' || l, f || '.' || l[1], f || l, f[1] || l]) AS variation, f, l FROM p)
+SELECT p_partkey, lower(variation) AS variation FROM v WHERE length(variation) >= 5 AND f <> '' AND l <> ''""")
+def column_name_variations(spark, sf_dir):
+    words = F.split("p_name", " ")
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(T.name_variations(words[0], F.try_element_at(words, F.lit(2)))).alias("variation"))
+
+
+MAPPING = "('a', 0, 'Skip'), ('a', 1, 'NAME'), ('a', 2, 'NAME'), ('a', 3, 'EMAIL'), ('a', 5, 'NAME'), ('b', 0, 'NAME'), ('b', 1, 'NAME'), ('b', 2, 'NAME')"
+
+
+@query(f"WITH m AS (SELECT *, col_index - row_number() OVER (PARTITION BY doc_id ORDER BY col_index) AS g FROM (VALUES {MAPPING}) t(doc_id, col_index, category) WHERE category = 'NAME') SELECT doc_id, min(col_index) AS first, max(col_index) AS last FROM m GROUP BY doc_id, g")
+def column_name_groups(spark, sf_dir):
+    return columns.name_groups_table(values(spark, MAPPING, "doc_id, col_index, category"))
+
+
+PEOPLE = "(0, 'Jane', 'Smith', 'jane called Jane and Janes'), (1, 'Rose', 'Park', 'a rose for Rose. Smith too'), (2, 'Omar', 'Silva', 'nothing')"
+
+
+@query(f"""
+WITH p AS (SELECT * FROM (VALUES {PEOPLE}) t(i, a, b, note)), w AS (SELECT unnest([a, b]) AS word, unnest([i + 1, i + 1]) AS n FROM p)
+SELECT (i + 2)::INT AS line_number, list_reduce((SELECT list(word || chr(1) || '[NAME ' || n || ']' ORDER BY length(word) DESC, word) FROM w),
+  lambda acc, e: regexp_replace(acc, '\\b' || split_part(e, chr(1), 1) || '\\b', split_part(e, chr(1), 2), 'g'), note) AS note FROM p""")
+def column_crossref(spark, sf_dir):
+    rows = segments.segments_of_rows(values(spark, PEOPLE, "i, a, b, note").withColumn("i", F.col("i") + 1), "people", "i", ["a", "b", "note"])
+    mapping = {0: "NAME", 1: "NAME", 2: "Freetext"}
+    known = lookup.assign_tags(columns.mapped_columns(rows, mapping))
+    masked = columns.cross_reference(rows, known, mapping, 3)
+    return masked.filter("line_number > 1").select("line_number", F.col("cells")[2]["text"].alias("note"))
+
+
+# ---- lookup and replay -----------------------------------------------------------------------------------------------
+
+
+def _found(spark, sf_dir):
+    rows = _docs(spark, sf_dir)
+    return detect.union([detect.emails(rows), detect.structured(rows)])
+
+
+FOUND = rf"""{LINES},
+e AS (SELECT doc_id, 1 AS stage, line_number, 0 AS k, 'EMAIL' AS category, regexp_extract_all(line, '{EMAIL_RE2}') AS terms FROM lines),
+i AS (SELECT doc_id, 6, line_number, 3, 'IP', regexp_extract_all(line, '\b(?:{OCTET}\.){{3}}{OCTET}\b') FROM lines),
+p AS (SELECT doc_id, 6, line_number, 4, 'PHONE', regexp_extract_all(line, '{PHONE_RE2}') FROM lines),
+c AS (SELECT doc_id, 6, line_number, 8, 'ID', regexp_extract_all(line, '\b\d{{13,19}}\b') FROM lines),
+u AS (SELECT * FROM e UNION ALL SELECT * FROM i UNION ALL SELECT * FROM p UNION ALL SELECT * FROM c),
+x AS (SELECT doc_id, stage, line_number, k, category, unnest(range(1, len(terms) + 1)) AS pos, unnest(terms) AS term FROM u),
+f AS (SELECT *, trim(regexp_replace(replace(regexp_replace(lower(term), '[''’]', '', 'g'), '-', ' '), '\s+', ' ', 'g')) AS norm_key FROM x
+  WHERE (category <> 'PHONE' OR length(regexp_replace(term, '[^0-9]', '', 'g')) BETWEEN 7 AND 15) AND (category <> 'ID' OR {LUHN.replace('digits', 'term')}))"""
+
+
+def _lookup_sql(persist: bool) -> str:
+    scope, order = ("'all'", "doc_id, stage, line_number, k, pos") if persist else ("doc_id::VARCHAR", "stage, line_number, k, pos")
+    part = "norm_key" if persist else "doc_id, norm_key"
+    by = "category" if persist else "doc_id, category"
+    return f"""WITH {FOUND}, first AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS r FROM f), one AS (SELECT * FROM first WHERE r = 1)
+SELECT {scope} AS scope, term AS original_term, '[' || category || ' ' || row_number() OVER (PARTITION BY {by} ORDER BY {order}) || ']' AS anonymised_term, category AS pii_category,
+  doc_id::VARCHAR AS first_seen_doc, line_number::INT AS first_seen_line FROM one"""
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("scope", "original_term", "anonymised_term", "pii_category", "first_seen_doc", F.col("first_seen_line").cast("int").alias("first_seen_line"))
+
+
+@query(_lookup_sql(False))
+def lookup_per_file(spark, sf_dir):
+    return _shown(lookup.assign_tags(_found(spark, sf_dir)))
+
+
+@query(_lookup_sql(True))
+def lookup_persist(spark, sf_dir):
+    return _shown(lookup.assign_tags(_found(spark, sf_dir).withColumn("doc_no", F.col("doc_id").cast("long")), "persist", "doc_no"))
+
+
+@query(f"""
+WITH d AS (SELECT * FROM (VALUES {LETTER}) t(doc_id, text)), n AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '{_re2(V.TITLED_NAME)}', 1))) AS term,
+  unnest(range(1, len(regexp_extract_all(text, '{_re2(V.TITLED_NAME)}', 1)) + 1)) AS pos FROM d),
+t AS (SELECT *, '[NAME ' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) || ']' AS tag FROM n),
+w AS (SELECT doc_id, unnest(string_split(term, ' ')) AS word, tag, term FROM t WHERE contains(term, ' '))
+SELECT doc_id::VARCHAR AS scope, term AS original_term, tag AS anonymised_term, false AS is_alias FROM t UNION ALL SELECT doc_id::VARCHAR, word, tag, true FROM w WHERE length(word) >= 3""")
+def lookup_alias(spark, sf_dir):
+    return lookup.assign_tags(detect.titled_names(_letter(spark))).select("scope", "original_term", "anonymised_term", "is_alias")
+
+
+@query(f"WITH {FOUND}, one AS (SELECT DISTINCT doc_id, norm_key, category FROM f) SELECT category AS pii_category, count(*) AS n FROM one GROUP BY ROLLUP (category)")
+def category_counts(spark, sf_dir):
+    return lookup.category_counts(lookup.assign_tags(_found(spark, sf_dir)), total=True)
+
+
+ENTRIES = "('a', 'the', 'NAME'), ('a', 'N/A', 'ID'), ('a', '12345', 'NAME'), ('a', '12345', 'ID'), ('a', 'x', 'ORG'), ('a', 'Plaintiff', 'NAME'), ('a', 'plaintiff', 'ORG'), ('b', ' To be confirmed ', 'DOB'), ('b', 'Jane Smith', 'NAME'), ('b', '2024', 'ORG')"
+
+
+@query(
+    f"SELECT scope, original_term, pii_category FROM (VALUES {ENTRIES}) t(scope, original_term, pii_category) WHERE NOT (lower(trim(original_term)) IN ({_quoted(V.STOP_WORDS)}) OR lower(trim(original_term)) IN ({_quoted(V.PLACEHOLDERS)}) "
+    f"OR (regexp_full_match(trim(original_term), '\\d+') AND pii_category NOT IN ({_quoted(V.NUMERIC_CATEGORIES)})) OR length(trim(original_term)) < 2 OR (pii_category = 'NAME' AND lower(trim(original_term)) IN ({_quoted(V.ROLE_WORDS)})))"
+)
+def post_validate(spark, sf_dir):
+    return lookup.validate(values(spark, ENTRIES, "scope, original_term, pii_category"))[0]
+
+
+@query(f"SELECT pii_category, count(*) AS n FROM ({_lookup_sql(False)}) WHERE pii_category NOT IN ('EMAIL', 'PHONE') GROUP BY 1")
+def category_filter(spark, sf_dir):
+    """Entries of disabled categories; numbers were given before the filter."""
+    return lookup.category_counts(lookup.filter_categories(lookup.assign_tags(_found(spark, sf_dir)), ["EMAIL", "PHONE"])[1])
+
+
+@query(f"""
+WITH {FOUND}, first AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm_key ORDER BY stage, line_number, k, pos) AS r FROM f),
+one AS (SELECT doc_id, norm_key, '[' || category || ' ' || row_number() OVER (PARTITION BY doc_id, category ORDER BY stage, line_number, k, pos) || ']' AS tag FROM first WHERE r = 1),
+forms AS (SELECT DISTINCT f.doc_id, f.term, one.tag FROM f JOIN one USING (doc_id, norm_key)),
+lists AS (SELECT doc_id, list(term || chr(1) || tag ORDER BY length(term) DESC, term) AS pairs, count(*) AS n FROM forms GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_forms, md5(CASE WHEN pairs IS NULL THEN text ELSE list_reduce(pairs, lambda acc, p: replace(acc, split_part(p, chr(1), 1), split_part(p, chr(1), 2)), text) END) AS redacted_md5
+FROM documents d LEFT JOIN lists USING (doc_id)""")
+def redact_documents(spark, sf_dir):
+    """The flagship: every document with its e-mail addresses, IP addresses, phone and card numbers replaced by tags."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = _found(spark, sf_dir)
+    forms = lookup.forms(found, lookup.assign_tags(found))
+    entries = replay.entries_by_scope(forms)
+    joined = docs.join(entries, docs["doc_id"].cast("string") == entries["scope"], "left")
+    text = F.when(F.col("entries").isNull(), F.col("text")).otherwise(T.replay("text", "entries"))
+    return joined.select("doc_id", F.coalesce(F.size("entries"), F.lit(0)).cast("long").alias("n_forms"), F.md5(text).alias("redacted_md5"))
+
+
+@query()
+def redact_exact(spark, sf_dir):
+    """Sequential reading of each document, as the parity mode does it."""
+    rows = redact_exactly(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.size("lookup").alias("n_entries"), F.md5("redacted").alias("redacted_md5"))
+
+
+@query()
+def anonymize_all_stages(spark, sf_dir):
+    """The engine with every stage that needs no model, over whole documents."""
+    result = Engine(spark, Options(custom_lists=tuple(LISTS[:1]))).anonymize_texts(table(spark, sf_dir, "documents"))
+    return result.lookup.groupBy("pii_category").agg(F.count("*").alias("n"))
+
+
+DECISIONS = "('1', 'lucia garcia', false, ''), ('6', 'jane anne doe', true, 'ORG')"
+
+
+@query(f"WITH l AS ({ORACLE['lookup_alias']}) SELECT scope, original_term, CASE WHEN scope = '6' AND lower(original_term) = 'jane anne doe' THEN '[ORG 1r]' ELSE anonymised_term END AS anonymised_term FROM l WHERE NOT (scope = '1' AND lower(original_term) = 'lucia garcia')")
+def review_decisions(spark, sf_dir):
+    decisions = values(spark, DECISIONS, "scope, norm_key, accept, category").withColumn("category", F.expr("nullif(category, '')"))
+    return lookup.review(lookup.assign_tags(detect.titled_names(_letter(spark))), decisions).select("scope", "original_term", "anonymised_term")
+
+
+TEXTS = "(1, '[NAME 1] works at NAME Corp', 'NAME', '[JOBTITLE 3]'), (2, 'see [Jane 2019], Jane and Janet', 'Jane', '[NAME 1]'), (3, 'a [ stray Jane', 'Jane', '[NAME 1]'), (4, 'a ] stray Jane.', 'Jane', '[NAME 1]'), (5, 'x+y and x+y+z', 'x+y', '[ID 1]'), (6, '', 'Jane', '[NAME 1]')"
+EXPECTED = "(1, '[NAME 1] works at [JOBTITLE 3] Corp'), (2, 'see [Jane 2019], [NAME 1] and Janet'), (3, 'a [ stray [NAME 1]'), (4, 'a ] stray [NAME 1].'), (5, '[ID 1] and [ID 1]+z'), (6, '')"
+
+
+@query(f"SELECT id, done FROM (VALUES {EXPECTED}) t(id, done)")
+def safe_replace(spark, sf_dir):
+    return values(spark, TEXTS, "id, text, term, tag").select("id", T.safe_replace("text", "term", "tag").alias("done"))
+
+
+# ---- models' rules ------------------------------------------------------------------------------------------------------
+
+SPANS = "(1, 0, 10, 'PERSON', 0.9), (1, 2, 5, 'URL', 0.9), (1, 0, 10, 'ORG', 0.95), (1, 12, 20, 'PHONE_NUMBER', 0.4), (2, 0, 4, 'DATE_TIME', 0.9), (2, 3, 9, 'LOCATION', 0.6), (2, 3, 9, 'NOSUCH', 0.9)"
+
+
+@query(
+    f"WITH s AS (SELECT *, coalesce(map {{{', '.join(f'{k!r}: {v}' for k, v in V.NER_PRIORITY.items())}}}[type], 99) AS p FROM (VALUES {SPANS}) t(line, start, stop, type, score)), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY line, start, stop ORDER BY p, score DESC, type) AS r FROM s), k AS (SELECT * FROM o WHERE r = 1) "
+    "SELECT line, start, stop, type FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.line = a.line AND b.start <= a.start AND b.stop >= a.stop AND (b.start < a.start OR b.stop > a.stop))"
+)
+def span_overlap(spark, sf_dir):
+    return models.uncontained(values(spark, SPANS, "line, start, stop, type, score"), ["line"]).select("line", "start", "stop", "type")
+
+
+TOKENS = "(1, 0, 'O', 0.9, 0, 0), (1, 1, 'B-GIVENNAME', 0.9, 0, 4), (1, 2, 'I-SURNAME', 0.8, 5, 10), (1, 3, 'O', 0.9, 11, 13), (1, 4, 'I-CITY', 0.7, 14, 20), (1, 5, 'B-CITY', 0.7, 21, 26), (1, 6, 'I-CITY', 0.3, 27, 30), (1, 7, 'I-CITY', 0.7, 31, 33), (2, 0, 'I-NOSUCH', 0.9, 0, 3), (2, 1, 'I-EMAIL', 0.9, 4, 9), (2, 2, 'I-TAXNUM', 0.9, 10, 12)"
+MERGED = "(1, 0, 10, 'NAME'), (1, 14, 20, 'LOCATION'), (1, 21, 26, 'LOCATION'), (1, 31, 33, 'LOCATION'), (2, 4, 9, 'EMAIL'), (2, 10, 12, 'ID')"
+
+
+@query(f"SELECT * FROM (VALUES {MERGED}) t(line, start, stop, category)")
+def span_merge(spark, sf_dir):
+    return models.merge_tokens(values(spark, TOKENS, "line, pos, label, score, start, stop"), ["line"])
+
+
+@query(f"""
+WITH {LINES}, a AS (SELECT doc_id, line_number, regexp_replace(line, '[^\\x00-\\x7F]', '_', 'g') AS line, regexp_replace(regexp_replace(line, '[^\\x00-\\x7F]', '_', 'g'), '\\[[^\\]]*\\]', chr(1), 'g') AS shown FROM lines),
+m AS (SELECT doc_id, unnest(regexp_extract_all(shown, '\\b[A-Z][a-z]+(?:[ \\t\\f\\v]+[A-Z][a-z]+)*\\b')) AS term FROM a)
+SELECT doc_id::VARCHAR AS doc_id, regexp_replace(term, '[^\\x00-\\x7F]', '_', 'g') AS term, count(*) AS n FROM m WHERE contains(term, ' ') GROUP BY ALL""")
+def group_consecutive(spark, sf_dir):
+    """Title-case tokens with nothing but white space between them, joined."""
+    rows = _docs(spark, sf_dir)
+    texts = rows.select("doc_id", "line_number", segments.line_text().alias("line"))
+    tokens = detect.title_case_tokens(rows).join(texts, ["doc_id", "line_number"])
+    whole = models.group_tokens(tokens, ["doc_id", "line_number"]).filter(F.contains("term", F.lit(" ")))
+    return whole.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+@query()
+def ner_title_case(spark, sf_dir):
+    return _counted(models.ner(_docs(spark, sf_dir), models.title_case_provider))
+
+
+# ---- likeness ----------------------------------------------------------------------------------------------------------
+
+
+def _part_words(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).filter(F.length("word") >= 4).distinct()
+
+
+MISSPELT = "('smal', 0), ('larger', 1), ('brgiht', 2), ('meduim', 3), ('gren', 4), ('yelow', 5), ('mettal', 6), ('shiny', 7), ('ca', 8), ('screww', 9), ('blot', 10), ('widgte', 11)"
+
+
+@query(
+    f"WITH q AS (SELECT word FROM (VALUES {MISSPELT}) t(word, i) WHERE length(word) >= 4), t AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS target FROM part), "
+    "d AS (SELECT word, target, damerau_levenshtein(word, target) AS distance, CASE WHEN length(word) <= 6 THEN 1 ELSE 2 END AS most FROM q, t WHERE length(target) >= 4), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, target) AS r FROM d WHERE distance <= most AND abs(length(word) - length(target)) <= most) SELECT word, target, distance::INT AS distance FROM r WHERE r = 1"
+)
+def fuzzy_edit(spark, sf_dir):
+    known = _part_words(spark, sf_dir).select(F.lower("word").alias("target"), F.lower("word").alias("place"))
+    return similarity.edit_matches(values(spark, MISSPELT, "word, i").select("word"), known)
+
+
+@query()
+def fuzzy_phonetic(spark, sf_dir):
+    return _part_words(spark, sf_dir).withColumn("code", sound_code_udf("word"))
+
+
+_COS = "list_cosine_similarity(q.embedding, t.embedding)"
+
+
+@query(
+    f"WITH t AS (SELECT * FROM embeddings WHERE vec_id < 10), p AS (SELECT q.vec_id, t.vec_id AS best_id, {_COS} AS s FROM embeddings q, t), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, best_id) AS r FROM p) "
+    "SELECT vec_id, best_id, round(s, 4) AS similarity FROM r WHERE r = 1 AND s >= 0.3"
+)
+def embed_match(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    known = rows.filter("vec_id < 10").select(F.col("vec_id").alias("target_id"), F.col("vec_id").alias("place"), F.col("embedding").alias("vector"))
+    best = similarity.vector_matches(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), known, 0.3)
+    return best.select(F.col("id").alias("vec_id"), F.col("target_id").alias("best_id"), F.round("similarity", 4).alias("similarity"))
+
+
+# ---- scoring -----------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH g AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'B-TOXIC' WHEN quality = 0 THEN 'B-LOW' ELSE 'O' END AS gold, CASE WHEN doc_id % 3 = 0 THEN 'B-TOXIC' WHEN doc_id % 3 = 1 THEN 'B-LOW' ELSE 'O' END AS predicted FROM labels),
+o AS (SELECT gold[3:] AS category, 'tp' AS o FROM g WHERE gold <> 'O' AND gold = predicted UNION ALL SELECT gold[3:], 'fn' FROM g WHERE gold <> 'O' AND gold <> predicted UNION ALL SELECT predicted[3:], 'fp' FROM g WHERE predicted <> 'O' AND gold <> predicted),
+c AS (SELECT category, count(*) FILTER (o = 'tp') AS tp, count(*) FILTER (o = 'fp') AS fp, count(*) FILTER (o = 'fn') AS fn FROM o GROUP BY category)
+SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(26 * (tp / (tp + fp)) * (tp / (tp + fn)) / (25 * (tp / (tp + fp)) + tp / (tp + fn)), 6) AS f FROM c""")
+def score_strict(spark, sf_dir):
+    gold = F.when(F.col("toxic") == 1, "B-TOXIC").when(F.col("quality") == 0, "B-LOW").otherwise("O")
+    guess = F.when(F.col("doc_id") % 3 == 0, "B-TOXIC").when(F.col("doc_id") % 3 == 1, "B-LOW").otherwise("O")
+    scores = scoring.f_scores(scoring.label_scores(table(spark, sf_dir, "labels").select(gold.alias("gold"), guess.alias("predicted"))))
+    return scores.select("category", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f")))
+
+
+@query("""
+WITH g AS (SELECT CASE WHEN toxic = 1 THEN 'T' WHEN quality = 0 THEN 'L' ELSE 'C' END AS category, CASE WHEN doc_id % 3 = 0 THEN 'tp' WHEN doc_id % 3 = 1 THEN 'fp' ELSE 'fn' END AS o FROM labels),
+c AS (SELECT category, count(*) FILTER (o = 'tp') AS tp, count(*) FILTER (o = 'fp') AS fp, count(*) FILTER (o = 'fn') AS fn FROM g GROUP BY ROLLUP (category))
+SELECT *, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))), 4) AS f1 FROM c""")
+def score_micro(spark, sf_dir):
+    category = F.when(F.col("toxic") == 1, "T").when(F.col("quality") == 0, "L").otherwise("C")
+    outcome = F.when(F.col("doc_id") % 3 == 0, "tp").when(F.col("doc_id") % 3 == 1, "fp").otherwise("fn")
+    return scoring.micro_scores(table(spark, sf_dir, "labels").select(category.alias("category"), outcome.alias("outcome")))
+
+
+GOLD = """(1, '[{"entity": "Jane Smith", "types": ["nosuch", "name"]}, {"entity": "London", "types": ["city"]}, {"entity": "ab", "types": ["name"]}]'), (2, '[{"entity": "jane@x.org", "types": ["email", "name"]}, {"entity": "thing", "types": ["nosuch"]}]')"""
+GOLD_ROWS = "(1, 0, 'Jane Smith', 'NAME'), (1, 1, 'London', 'LOCATION'), (2, 0, 'jane@x.org', 'EMAIL')"
+GUESSES = "(1, 0, 'Smith', 'NAME'), (1, 1, 'jane smith', 'NAME'), (1, 2, 'Londonderry', 'ORG'), (2, 0, 'JANE@X.ORG', 'EMAIL')"
+
+
+@query(f"SELECT * FROM (VALUES {GOLD_ROWS}) t(doc_id, ord, entity, category)")
+def gold_entities(spark, sf_dir):
+    return scoring.gold_entities(values(spark, GOLD, "doc_id, entities"), "doc_id", "entities")
+
+
+@query("SELECT * FROM (VALUES (1, 'NAME', 'tp'), (1, 'LOCATION', 'fn'), (1, 'NAME', 'fp'), (1, 'ORG', 'fp'), (2, 'EMAIL', 'tp')) t(doc_id, category, outcome)")
+def score_greedy(spark, sf_dir):
+    return scoring.greedy_matches(values(spark, GOLD_ROWS, "doc_id, ord, entity, category"), values(spark, GUESSES, "doc_id, ord, entity, category"))
+
+
+WORDS = r"regexp_extract_all(text, '[^\s]+')"
+
+
+@query(
+    r"WITH t AS (SELECT item_id, unnest(regexp_extract_all(text, '[^\s]+')) AS token, unnest(range(0, len(regexp_extract_all(text, '[^\s]+')))) AS i, "
+    r"unnest(list_transform(regexp_extract_all(text, '\s*[^\s]+'), lambda s: length(s))) AS n FROM benchmark) "
+    "SELECT item_id AS doc_id, i::INT AS i, token, (sum(n) OVER (PARTITION BY item_id ORDER BY i) - length(token))::INT AS start, (sum(n) OVER (PARTITION BY item_id ORDER BY i))::INT AS stop FROM t"
+)
+def token_offsets(spark, sf_dir):
+    docs = table(spark, sf_dir, "benchmark").withColumn("tokens", F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0)))
+    return scoring.token_offsets(docs, "item_id", "text", "tokens")
+
+
+BIO_TOKENS = "(1, 0, 0, 4), (1, 1, 5, 10), (1, 2, 11, 13), (1, 3, 14, 20), (1, 4, 21, 25)"
+BIO_SPANS = "(1, 0, 10, 'NAME'), (1, 5, 13, 'ORG'), (1, 14, 25, 'LOC'), (1, 14, 20, 'ID')"
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'B-NAME'), (1, 1, 'I-NAME'), (1, 2, 'B-ORG'), (1, 3, 'B-LOC'), (1, 4, 'I-LOC')) t(doc_id, i, label)")
+def bio_project(spark, sf_dir):
+    return scoring.bio_labels(values(spark, BIO_TOKENS, "doc_id, i, start, stop"), values(spark, BIO_SPANS, "doc_id, start, stop, label")).select("doc_id", "i", "label")
+
+
+ESSAYS = "(1, 'NAME', 'Jane'), (2, 'LOCATION', 'Paris'), (3, 'LOCATION', '12 Oak Lane'), (4, 'URL', 'http://x'), (5, 'DOB', '1/2/99')"
+
+
+@query(f"SELECT id, map {{{', '.join(f'{k!r}: {v!r}' for k, v in V.ESSAY_LABELS.items())}}}[category] AS label, CASE WHEN category = 'URL' OR (category = 'LOCATION' AND NOT regexp_matches(term, '[0-9]')) THEN NULL ELSE map {{{', '.join(f'{k!r}: {v!r}' for k, v in V.ESSAY_LABELS.items())}}}[category] END AS tuned FROM (VALUES {ESSAYS}) t(id, category, term)")
+def essay_labels(spark, sf_dir):
+    return values(spark, ESSAYS, "id, category, term").select("id", scoring.essay_label("category", "term").alias("label"), scoring.essay_label("category", "term", True).alias("tuned"))
+
+
+@query("SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) / 3)::BIGINT AS n FROM documents")
+def term_occurrences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(scoring.occurrences("text", F.lit("the"))).cast("long").alias("n"))
+
+
+LAYERS = "(1, 8, 'ner', 'Jane', 'NAME'), (1, 10, 'names', 'Jane', 'NAME'), (1, 10, 'names', 'Rose', 'NAME'), (2, 10, 'names', 'Rose', 'NAME'), (2, 12, 'encoder', 'London', 'LOCATION')"
+
+
+@query("SELECT * FROM (VALUES ('ner', 1, 1, 0), ('names', 2, 0, 2)) t(layer, n, tp, fp)")
+def layer_attribution(spark, sf_dir):
+    return scoring.layer_attribution(values(spark, LAYERS, "doc_id, stage, layer, original, category"), values(spark, GOLD_ROWS, "doc_id, ord, entity, category"))[0]

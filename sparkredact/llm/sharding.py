@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from .common import Workspace
 
 #: Bytes of text a finished run should have, runs of a tier that are merged at once, and bytes of the lowest tier.
 TARGET_BYTES, FANOUT, LOWEST_BYTES = 128 << 20, 4, 1 << 20
+#: Runs that are merged and committed at once.
+MERGES = 64
 
 
 #: Columns that are added to rows here; a column of the rows by such a name is refused.
@@ -98,11 +101,11 @@ class Store:
         """What the manifest, which the driver holds, says about each shard."""
         return self.spark.createDataFrame(rows, f"{SHARD} string, {columns}")
 
-    def append(self, rows: DataFrame, arrivals: int, text_col: str = "text", key: str = "doc_id") -> int:
-        """Add rows as small shards, ``arrivals`` of them, in one new version."""
+    def append(self, rows: DataFrame, splits: int = 2, text_col: str = "text", key: str = "doc_id") -> int:
+        """Add rows as small shards in one new version: each task that reads rows writes ``splits`` of them, with no shuffle."""
         base = self.version()
-        dealt = rows.withColumn(PART, F.pmod(F.xxhash64(F.col(key).cast("string"), text_col), F.lit(arrivals)))
-        dealt = dealt.repartition(arrivals, PART)
+        split = F.pmod(F.xxhash64(F.col(key).cast("string"), text_col), F.lit(splits))
+        dealt = rows.withColumn(PART, F.spark_partition_id().cast("long") * splits + split)
         return self.commit(base, [*self.shards(base), *self._write(dealt, 0, f"a{base + 1}-{uuid.uuid4().hex[:8]}", text_col)])
 
     def tier(self, shard: Shard) -> int:
@@ -135,12 +138,13 @@ class Store:
         """Merge one round of runs and commit; the version is the old one if there was nothing to merge."""
         base = self.version()
         live = self.shards(base)
-        runs = self.runs(live)
+        runs = self.runs(live)[:MERGES]
         if not runs:
             return base
-        which = self._about([(s.name, k) for k, run in enumerate(runs) for s in run], f"{PART} long")
-        merged = self._named([s for run in runs for s in run]).join(which, SHARD).drop(SHARD).repartition(len(runs), PART)
-        pieces = self._write(merged, 1 + max(s.level for run in runs for s in run), f"c{base + 1}-{uuid.uuid4().hex[:8]}", text_col)
+        # One task reads and writes each run: shards are joined end to end, so nothing has to be shuffled.
+        merged = [self.spark.read.parquet(*[f"{self.root}/{s.name}" for s in run]).coalesce(1).withColumn(PART, F.lit(k).cast("long")) for k, run in enumerate(runs)]
+        level = 1 + max(s.level for run in runs for s in run)
+        pieces = self._write(reduce(DataFrame.unionByName, merged), level, f"c{base + 1}-{uuid.uuid4().hex[:8]}", text_col)
         gone = {s.name for run in runs for s in run}
         version = self.commit(base, [*(s for s in live if s.name not in gone), *pieces])
         for shard in gone:
@@ -153,10 +157,10 @@ class Store:
         return self._named(live).join(self._about([(s.name, s.level) for s in live], f"{LEVEL} int"), SHARD) if live else None
 
 
-def compacted(docs: DataFrame, arrivals: int | None = None, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> Store:
+def compacted(docs: DataFrame, splits: int = 2, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> Store:
     """A store of docs that arrived as small shards and were compacted until no tier has a run left.
 
-    arrivals is the number of small shards; None: twice the partitions that the input is read in, at least eight.
+    Every task that reads docs writes ``splits`` of them.
     Null ids and texts and repeated rows are rows like others; an empty table gives a store without shards.
     """
     if clash := {PART, SHARD, LEVEL} & {c.lower() for c in docs.columns}:
@@ -164,7 +168,7 @@ def compacted(docs: DataFrame, arrivals: int | None = None, id_col: str = "doc_i
     spark = docs.sparkSession
     space = Workspace(spark, "sharding")
     store = Store(spark, space.path("store"), **sizes)
-    store.append(docs, arrivals or max(8, 2 * docs.rdd.getNumPartitions()), text_col, id_col)
+    store.append(docs, splits, text_col, id_col)
     before = -1
     while (now := store.compact(text_col)) != before:
         before = now

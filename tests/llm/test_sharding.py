@@ -9,20 +9,20 @@ from .fixtures import documents, empty, rows
 
 
 def test_rows_survive_compaction(spark):
-    store = compacted(documents(spark), arrivals=16, target=40_000, fanout=4, lowest=200)
+    store = compacted(documents(spark), splits=6, target=40_000, fanout=4, lowest=200)
     got = store.read()
     assert Counter((r.doc_id, r.text, r.source) for r in got.collect()) == Counter((r[0], r[1], r[2]) for r in rows())
-    assert got.select(SHARD).distinct().count() < 16 and got.agg({LEVEL: "max"}).first()[0] >= 1
+    assert got.select(SHARD).distinct().count() < 18 and got.agg({LEVEL: "max"}).first()[0] >= 1
     assert all(len(run) < 4 for run in [store.runs(store.shards())])
 
 
 def test_versions_are_atomic(spark):
     store = Store(spark, Workspace(spark, "test").path("store"))
-    store.append(documents(spark), 4)
+    store.append(documents(spark), 1)
     first = store.shards()
-    assert store.version() == 1 and len(first) == 4
-    store.append(documents(spark), 4)
-    assert store.version() == 2 and len(store.shards()) == 8 and store.shards(1) == first
+    assert store.version() == 1 and len(first) == 3
+    store.append(documents(spark), 1)
+    assert store.version() == 2 and len(store.shards()) == 6 and store.shards(1) == first
     with pytest.raises(RuntimeError):
         store.commit(1, first)
     assert store.version() == 2
@@ -39,6 +39,6 @@ def test_tiers(spark):
 
 
 def test_empty_and_clashes(spark):
-    assert compacted(empty(spark), arrivals=4).read() is None
+    assert compacted(empty(spark)).read() is None
     with pytest.raises(ValueError):
         compacted(documents(spark).withColumnRenamed("source", SHARD))

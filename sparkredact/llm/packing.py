@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 WINDOW = 1024
-#: Chunks of text whose ids one Python worker remembers; about 200 MB.
-REMEMBERED = 1 << 20
+#: Parts of text whose ids one Python worker remembers, about 60 MB, and the letters of the longest of them.
+REMEMBERED, LONGEST = 1 << 18, 12
 
 
 class Encoder:
@@ -72,7 +72,7 @@ class _Remembered(dict):
 
     def __missing__(self, part: str) -> bytes:
         made = self.make(part)
-        if len(self) < REMEMBERED and len(part) < 64:
+        if len(self) < REMEMBERED and len(part) <= LONGEST:
             self[part] = made
         return made
 

@@ -35,7 +35,7 @@ def test_letter(spark):
 def test_forms(spark):
     docs = texts(spark, "Mr Jane Smith met Mrs Jane-Smith")
     assert redacted(Engine(spark).anonymize_texts(docs)) == "Mr [NAME 1] met Mrs [NAME 1]"
-    assert redacted(Engine(spark, Options(replay="first_form")).anonymize_texts(docs)) == "Mr [NAME 1] met Mrs Jane-[NAME 1]" or True
+    assert redacted(Engine(spark, Options(replay="first_form")).anonymize_texts(docs)) == "Mr [NAME 1] met Mrs [NAME 1]-[NAME 1]"
 
 
 def test_modes_number_tags(spark):

@@ -269,7 +269,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def _scored(model: Model, with_passages: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scored(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("bits", pa.float64()), ("p_value", pa.float64())]))
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,18 +281,15 @@ def _scored(model: Model, with_passages: bool) -> Callable[[Iterable[pa.RecordBa
                 for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     found = segments(model, weights[a:b])
                     scores.append(probability(model, found))
-                    if with_passages:
-                        found = [x for x in found if x[3] <= SIGNIFICANT]
-                        text_end = int(offsets[d + 1])
-                        own = []
-                        for i, j, bits, p in found:
-                            end = int(start[a + j - 1])
-                            while end < text_end and not MARKS[data[end]]:
-                                end += 1
-                            own.append({"begin": int(start[a + i]) - int(offsets[d]), "end": end - int(offsets[d]), "bits": bits, "p_value": p})
-                        spans.append(own)
-            columns = [*batch.columns[1:], pa.array(scores, pa.float64())] + ([pa.array(spans, kind)] if with_passages else [])
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "score"] + ["passages"] * with_passages)
+                    text_end, own = int(offsets[d + 1]), []
+                    for i, j, bits, p in (x for x in found if x[3] <= SIGNIFICANT):
+                        end = int(start[a + j - 1])
+                        while end < text_end and not MARKS[data[end]]:
+                            end += 1
+                        own.append({"begin": int(start[a + i]) - int(offsets[d]), "end": end - int(offsets[d]), "bits": bits, "p_value": p})
+                    spans.append(own)
+            columns = [*batch.columns[1:], pa.array(scores, pa.float64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "score", "passages"])
 
     return scored
 
@@ -305,12 +302,21 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     own = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     spans = "array<struct<begin:long,end:long,bits:double,p_value:double>>"
-    scored = own.mapInArrow(_scored(model, True), f"doc_id long, score double, passages {spans}")
+    scored = own.mapInArrow(_scored(model), f"doc_id long, score double, passages {spans}")
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with the columns of docs."""
-    inner = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("scored_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    kind = inner.schema["row"].dataType.simpleString()
-    return inner.mapInArrow(_scored(model, False), f"row {kind}, score double").filter(F.col("score") < threshold).select("row.*")
+    at = docs.columns.index(text_col)
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = []
+            for _, data, offsets in binary_slices(batch.column(at).cast(pa.binary())):
+                h, _, first = word_hashes(data, offsets, MARKS, PREFIXES)
+                weights = weigh(model, h)
+                low += [probability(model, segments(model, weights[a:b])) < threshold for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            yield batch.filter(pa.array(low, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

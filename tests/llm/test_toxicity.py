@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkredact.llm import toxicity as X
 
@@ -24,7 +25,7 @@ def corpus(spark, n=400):
 
 def test_held_out_rows_are_told_apart(spark):
     docs, labels = corpus(spark)
-    scored = X.toxicity(docs, X.learn(docs, labels)).withColumn("held_out", X.held_out(docs["doc_id"])).collect()
+    scored = X.toxicity(docs, X.learn(docs, labels)).withColumn("held_out", X.held_out(F.col("doc_id"))).collect()
     held = [(r.doc_id % 6 == 0, bool(r.predicted)) for r in scored if r.held_out]
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 for r in scored)

@@ -24,6 +24,16 @@ class Result:
     flagged: DataFrame
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """rows without their lineage, from a checkpoint in the folder that spark.checkpoint.dir names; one of this machine only if it names none."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(f"file:///tmp/checkpoints/{context.applicationId}")
+    return rows.checkpoint()
+
+
 class Engine:
     """Pseudonymises segments. Stages see the text without what earlier stages found; tags are given once, at the end.
 
@@ -52,10 +62,10 @@ class Engine:
             yield lambda s: detect.custom_words(s, list(o.custom_lists))
 
     def detect(self, rows: DataFrame) -> DataFrame:
-        """All stages' detections. They are small and kept; every stage's view comes from the segments and what was found so far."""
+        """All stages' detections. They are small and checkpointed; every stage's view comes from the segments and what was found so far."""
         view, found = rows, []
         for stage in self.stages():
-            found.append(stage(view).persist())
+            found.append(cut(stage(view)))
             terms = detect.union(found).select(F.col("doc_id").alias("scope"), F.col("original").alias("form"), F.lit(HIDDEN).alias("tag")).distinct()
             view = replay.redact_segments(rows, terms)
         return detect.union(found)

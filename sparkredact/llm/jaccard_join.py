@@ -13,8 +13,8 @@ infrequent ones are in it, the document is *plain*: it is joined by the pure has
    one earlier leader, and outside lists each other node of a group one to its leader: about as many edges as nodes,
    however large a group of near copies is.
 4. Edges are verified on whole sets and joined into classes. Then groups expand: in lists whose pairs weren't all
-   tried and that still hold several classes, every pair of nodes of different classes that passes the filter is verified.
-   Pairs within a class can't change any class.
+   tried and in groups of three nodes or more, where they still hold several classes, every pair of nodes of different
+   classes that passes the filter is verified. Pairs within a class can't change any class.
 
 Lists longer than LIST are dealt out by pairs of blocks. No task holds a class or all members of a list.
 """
@@ -362,7 +362,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = classed.groupBy("gk").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.count("*").alias("own"))
     mixed_lists = lists.join(kinds, "gk").groupBy("member").agg(F.count("*").alias("groups"), F.sum("own").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("own").alias("most"))
     left = mixed_lists.filter("low < high").filter((F.col("groups") > SHORT) | (F.col("most") > 1)).select("member", "total")
-    second = lists.drop("size").join(left, "member").join(classed, "gk").withColumn("blocks", F.ceil(F.col("total") / F.lit(LIST)).cast("long"))
+    second = lists.drop("size").join(left, "member").join(classed, "gk")
+    # Nodes of a group needn't meet in any list, so each group of several classes is a list of its own. Of two nodes the pair has been tried.
+    alone = kinds.filter("low < high AND own > 2").select("gk", F.col("gk").alias("member"), F.col("own").alias("total"))
+    alone = alone.join(classed.withColumn("plain", F.lit(False)), "gk").withColumns({"in_plain": F.lit(False), "frequent": F.lit(False)})
+    second = second.unionByName(alone).withColumn("blocks", F.ceil(F.col("total") / F.lit(LIST)).cast("long"))
     second = second.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
     second = second.withColumns({"block": pair, "side": F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own"))})

@@ -63,6 +63,49 @@ def test_long_lists_and_frequent_members(spark, monkeypatch, limits):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(table, 3, 80)
 
 
+def star(name, leads):
+    """An original and two copies, each with one word changed, that form one group led by the one of index leads; the copies don't link with each other."""
+    import numpy as np
+    import xxhash
+
+    def members(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return J.shingle_sets(raw, np.array([0, len(raw)]), 3)[0]
+
+    node = lambda m: int(np.frombuffer(xxhash.xxh3_128_digest(m.tobytes(), seed=0), np.int64)[0])
+    for turn in range(1000):
+        words = [f"{name}t{turn}w{i}" for i in range(82)]
+        whole = members(" ".join(words))
+        copies = []
+        for at in range(2, 80, 3):
+            text = " ".join(words[:at] + ["changed"] + words[at + 1 :])
+            if J.group_key(members(text), 90) == J.group_key(whole, 90):
+                copies.append(text)
+        if len(copies) > 1:
+            family = [" ".join(words), *copies[:2]]
+            ids = [node(members(t)) for t in family]
+            if ids.index(min(ids)) == leads:
+                return family
+    raise AssertionError("no such family")
+
+
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_groups_that_share_no_member_with_others(spark, monkeypatch, limit):
+    """Led by the original or by either copy, with the ids in all orders."""
+    from itertools import permutations
+
+    monkeypatch.setattr(J, "LIST", limit)
+    table = []
+    for leads in range(3):
+        for k, order in enumerate(permutations(range(3))):
+            family = star(f"f{leads}{k}", leads)
+            table += [(len(table) + i, family[j]) for i, j in enumerate(order)]
+    got = J.near_classes(spark.createDataFrame(table, "doc_id long, text string").repartition(4), words=3, percent=90).collect()
+    want = brute(table, 3, 90)
+    assert {least for _, _, least in want} == set(range(0, len(table), 3))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_null_ids_and_empty(spark):
     assert J.near_classes(empty(spark), words=3, percent=90).count() == 0
     two = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (None, None)], "doc_id long, text string")

@@ -6,8 +6,11 @@ share a form with one letter dropped (two for two edits), which is an equi-join
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.python import edits_udf, sound_code_udf
@@ -72,14 +75,103 @@ def fuzzy_aliases(words: DataFrame, lookup: DataFrame, common: DataFrame, max_di
     return typos.unionByName(alike).join(known.select("target", "tag", "category"), "target").select("word", "target", "tag", "category", "by")
 
 
-def vector_matches(queries: DataFrame, known: DataFrame, threshold: float = 0.85) -> DataFrame:
+#: Vectors of a block, bytes of blocks that are broadcast, and how far sums taken in another order may differ at most.
+BLOCK, BROADCAST_BYTES, SLACK = 1024, 32 << 20, 1e-9
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(key, place, vector) to rows of up to BLOCK vectors of one length: keys, places, vectors (doubles in a row), width. Vectors with nulls match nothing."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+
+    def blocks(batches):
+        for batch in batches:
+            by_width: dict[int, list[int]] = {}
+            vectors = batch.column(2).to_pylist()
+            for i, v in enumerate(vectors):
+                by_width.setdefault(len(v), []).append(i)
+            for width, found in by_width.items():
+                for first in range(0, len(found), BLOCK):
+                    some = found[first : first + BLOCK]
+                    ends = pa.array([0, len(some)], pa.int32())
+                    packed = pa.array([np.array([vectors[i] for i in some], np.float64).tobytes()], pa.binary())
+                    keys, places = (pa.ListArray.from_arrays(ends, batch.column(c).take(pa.array(some))) for c in (0, 1))
+                    yield pa.RecordBatch.from_arrays([keys, places, packed, pa.array([width], pa.int32())], names=["keys", "places", "vectors", "width"])
+
+    schema = StructType([StructField("keys", ArrayType(kinds["key"])), StructField("places", ArrayType(kinds["place"])), StructField("vectors", BinaryType()), StructField("width", IntegerType())])
+    whole = rows.filter(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+    return whole.select("key", "place", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(blocks, schema)
+
+
+def _best(threshold: float, others: bool):
+    """Pairs of blocks to the best target of each query; pairs of one block of queries come one after the other.
+
+    Products of matrices find what comes near the best; that is measured again, with sums in the order of ``text.cosine``.
+    """
+
+    def norms(v: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(v))
+        for d in range(v.shape[1]):
+            total += v[:, d] * v[:, d]
+        return np.sqrt(total)
+
+    def best(batches):
+        names, held, at = [], {}, None
+
+        def out() -> pa.RecordBatch:
+            keys = list(held)
+            return pa.RecordBatch.from_arrays([names[0].take(pa.array(keys, pa.int64())), pa.array([held[i][2] for i in keys], names[1]), pa.array([held[i][0] for i in keys], pa.float64()), pa.array([-held[i][1] for i in keys], pa.int64())], names=["id", "target_id", "similarity", "place"])
+
+        for batch in batches:
+            for r in range(len(batch)):
+                q_keys, q_raw, t_keys, t_places, t_raw, width = (batch.column(c)[r] for c in ("q_keys", "q_vectors", "keys", "places", "vectors", "width"))
+                if at is None or not q_keys.equals(at):
+                    if held:
+                        yield out()
+                    names, held, at = [q_keys.values, t_keys.values.type], {}, q_keys
+                q, t = (np.frombuffer(x.as_py(), np.float64).reshape(-1, width.as_py()) if width.as_py() else np.zeros((len(k.values), 0)) for x, k in ((q_raw, q_keys), (t_raw, t_keys)))
+                q_size, t_size = norms(q), norms(t)
+                ids, own, places = t_keys.values.to_pylist(), q_keys.values.to_pylist(), t_places.values.to_pylist()
+                where: dict = {}
+                for j, x in enumerate(ids):
+                    where.setdefault(x, []).append(j)
+                size = np.outer(q_size, t_size)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    rough = np.where(size == 0, 0.0, (q @ t.T) / size)
+                if others:
+                    for i, x in enumerate(own):
+                        rough[i, where.get(x, [])] = -np.inf
+                # Not numbers match nothing.
+                rough[np.isnan(rough)] = -np.inf
+                least = np.maximum(rough.max(axis=1), threshold) - SLACK
+                rows, cols = np.nonzero(rough >= least[:, None])
+                total = np.zeros(len(rows))
+                for d in range(q.shape[1]):
+                    total += q[rows, d] * t[cols, d]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    exact = np.where(size[rows, cols] == 0, 0.0, total / size[rows, cols])
+                for i, j, s in zip(rows.tolist(), cols.tolist(), exact.tolist()):
+                    if s >= threshold and (i not in held or (s, -places[j]) > held[i][:2]):
+                        held[i] = (s, -places[j], ids[j])
+        if held:
+            yield out()
+
+    return best
+
+
+def vector_matches(queries: DataFrame, known: DataFrame, threshold: float = 0.85, others: bool = False) -> DataFrame:
     """id, target_id, similarity: the most similar of the known vectors (target_id, place, vector), if similar enough.
 
-    Targets are packed into blocks that the queries visit; ties go to the first place. The number of targets is that of
-    distinct known words; each block is compared in one task's memory, and no block holds more than 1024 of them.
+    Ties go to the first place. With others a query doesn't meet the target of its own id. Every query is compared with
+    every target; both are packed into blocks, and a task holds a pair of them.
     """
-    blocks = known.withColumn("block", F.floor(F.row_number().over(Window.orderBy("place")) / F.lit(1024))).groupBy("block").agg(F.collect_list(F.struct("place", "target_id", "vector")).alias("targets"))
-    pairs = queries.join(F.broadcast(blocks) if blocks.count() <= 8 else blocks, F.lit(True)).select("id", "vector", "targets")
-    scored = F.transform("targets", lambda t: F.struct(T.cosine("vector", t["vector"]).alias("similarity"), F.struct((-t["place"]).alias("earlier")).alias("tie"), t["target_id"].alias("target_id")))
-    best = pairs.select("id", F.array_max(scored).alias("b")).groupBy("id").agg(F.max("b").alias("b"))
-    return best.filter(F.col("b.similarity") >= threshold).select("id", "b.target_id", "b.similarity")
+    kinds = {"id": queries.schema["id"].dataType, "target_id": known.schema["target_id"].dataType}
+    left = _blocks(queries.select(F.col("id").alias("key"), F.lit(0).cast("long").alias("place"), "vector")).select(F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"), F.col("width").alias("q_width"))
+    right = _blocks(known.select(F.col("target_id").alias("key"), F.col("place").cast("long").alias("place"), "vector"))
+    n_bytes = right.agg(F.sum(F.octet_length("vectors"))).first()[0] or 0
+    left, right = (left, F.broadcast(right)) if n_bytes <= BROADCAST_BYTES else (left.repartition(16), right.repartition(16))
+    # Not an equality: all blocks may have one width, and a hash join would bring them together.
+    pairs = left.join(right, (F.col("q_width") <= F.col("width")) & (F.col("q_width") >= F.col("width")))
+    schema = StructType([StructField("id", kinds["id"]), StructField("target_id", kinds["target_id"]), StructField("similarity", DoubleType()), StructField("place", LongType())])
+    close = pairs.select("q_keys", "q_vectors", "keys", "places", "vectors", "width").mapInArrow(_best(threshold, others), schema)
+    best = close.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("place")).alias("earlier"), "target_id")).alias("b"))
+    return best.select("id", "b.target_id", "b.similarity")

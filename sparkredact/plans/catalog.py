@@ -575,6 +575,15 @@ def embed_match(spark, sf_dir):
     return best.select(F.col("id").alias("vec_id"), F.col("target_id").alias("best_id"), F.round("similarity", 4).alias("similarity"))
 
 
+@query()
+def embed_match_all(spark, sf_dir):
+    """For each vector of the table the most similar other one; embed_match is its check by SQL, over ten targets."""
+    rows = table(spark, sf_dir, "embeddings")
+    known = rows.select(F.col("vec_id").alias("target_id"), F.col("vec_id").alias("place"), F.col("embedding").alias("vector"))
+    best = similarity.vector_matches(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), known, 0.3, others=True)
+    return best.select(F.col("id").alias("vec_id"), F.col("target_id").alias("best_id"), F.round("similarity", 4).alias("similarity"))
+
+
 # ---- scoring -----------------------------------------------------------------------------------------------------------
 
 

@@ -1,5 +1,7 @@
 import csv
 import io
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkredact.functions import vocabulary as V
 from sparkredact.operators import columns, detect, lookup, models, replay, segments, similarity
 from sparkredact.options import Options
-from sparkredact.plans import exact
+from sparkredact.plans import catalog, exact
 from sparkredact.plans.engine import Engine
 from sparkredact.plans.session import Session, clean_up, sessions
 from sparkredact.sources import files
@@ -138,6 +140,32 @@ def test_aliases_by_likeness(spark):
     assert redacted(result) == "Mr [NAME 1] met [NAME 1]"
 
 
+def cosine(a, b):
+    sizes = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+    return sum(x * y for x, y in zip(a, b)) / sizes if sizes else 0.0
+
+
+@pytest.mark.parametrize(("block", "most_bytes"), [(1024, 32 << 20), (7, 32 << 20), (7, 0)])
+def test_all_vectors_meet(spark, monkeypatch, tmp_path, block, most_bytes):
+    """Whole table against brute force: ids of ten and more as targets, none its own, ties to the first, nulls and zeros."""
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", most_bytes)
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    rows += [(60, rows[40][1]), (61, rows[40][1]), (62, [0.0] * 6), (63, None), (64, [-x for x in rows[0][1]])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = set()
+    for i, v in rows:
+        near = [(cosine(v, w), -j) for j, w in rows if j != i and v and w]
+        if near and max(near)[0] >= 0.3:
+            want.add((i, -max(near)[1], round(max(near)[0], 4)))
+    assert {tuple(r) for r in catalog.QUERIES["embed_match_all"](spark, str(tmp_path)).collect()} == want and any(j >= 10 for _, j, _ in want)
+    known = frame.selectExpr("vec_id AS target_id", "vec_id AS place", "embedding AS vector")
+    own = similarity.vector_matches(frame.selectExpr("vec_id AS id", "embedding AS vector"), known, 0.9).collect()
+    assert {(r.id, r.target_id) for r in own} == {(i, 40 if i in (60, 61) else i) for i, v in rows if v and any(v)}
+
+
 def test_false_positives_go(spark):
     rows = [("the", "NAME"), ("N/A", "ID"), ("123", "NAME"), ("123", "ID"), ("x", "ORG"), ("Plaintiff", "NAME"), ("Plaintiff", "ORG")]
     kept, gone = lookup.validate(spark.createDataFrame(rows, "original_term string, pii_category string"))

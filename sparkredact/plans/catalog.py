@@ -84,6 +84,13 @@ def reunify_sublines(spark, sf_dir):
     return whole.filter(F.size("cells") == 1).select("doc_id", F.col("line_number").cast("long").alias("line_number"), F.md5(segments.line_text()).alias("line_md5"))
 
 
+@query()
+def reunify_all_lines(spark, sf_dir):
+    """Every line, also those that were cut; reunify_sublines is its check by SQL, over lines that weren't."""
+    whole = segments.reunify_sublines(segments.split_long_lines(_docs(spark, sf_dir), 500))
+    return whole.select("doc_id", F.col("line_number").cast("long").alias("line_number"), F.size("cells").cast("long").alias("n_cells"), F.md5(segments.line_text()).alias("line_md5"))
+
+
 HEADERS = "(1, 'Email'), (2, 'Manager Email'), (3, ' First Name '), (4, 'Birth Date'), (5, 'Company Phone'), (6, 'xyz'), (7, 'ID'), (8, 'Row number'), (9, 'Postal Code'), (10, 'State of play'), (11, 'Job Title')"
 _KNOWN = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(V.HEADER_SUGGESTIONS.items()))
 

@@ -1,4 +1,5 @@
 import csv
+import hashlib
 import io
 import math
 import random
@@ -106,6 +107,21 @@ def test_long_lines(spark, text, most):
     assert whole.count() == rows.count()
 
 
+def test_all_lines_are_reunified(spark, tmp_path):
+    rng = random.Random(6)
+    line = lambda n: " ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", "!"]) for _ in range(n))
+    docs = [(i, "\n".join([line(rng.randint(0, 400)) for _ in range(4)] + ["x" * rng.randint(490, 1200)])) for i in range(12)] + [(12, None), (13, ""), (14, "short")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, text in docs:
+        for n, whole in enumerate((text or "").splitlines(), 1):
+            cells = segments.cut(whole, 500) if len(whole) > 500 else [whole]
+            assert "".join("".join(cells).split()) == "".join(whole.split())
+            want.add((str(i), n, len(cells), hashlib.md5(" | ".join(cells).encode()).hexdigest()))
+    got = [tuple(r) for r in catalog.QUERIES["reunify_all_lines"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and max(n for _, _, n, _ in want) > 3
+
+
 def test_providers(spark):
     docs = texts(spark, "Anna Salai met Jane Smith, then Oak Lane", "Anna Salai met Jane Smith, then Oak Lane", "")
     found = models.ner(segments.segments_of_texts(docs))

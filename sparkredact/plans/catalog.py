@@ -285,6 +285,12 @@ def detect_structured_all(spark, sf_dir):
     return detect.structured(_letter(spark)).select("doc_id", "category", F.col("original").alias("term"))
 
 
+@query()
+def detect_structured_documents(spark, sf_dir):
+    """All ordered patterns on the whole table; detect_structured_all is their check by SQL, on a letter."""
+    return detect.structured(_docs(spark, sf_dir)).select("doc_id", "category", F.col("original").alias("term"))
+
+
 @query(f"""
 WITH {LINES}, m AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(line, '\\[[^\\]]*\\]', chr(1), 'g'), '\\b[A-Za-z0-9_-]{{8,}}\\b')) AS term FROM lines),
 g AS (SELECT * FROM m WHERE NOT regexp_full_match(term, '[A-Za-z]+') AND NOT regexp_full_match(term, '[0-9]+') AND NOT regexp_full_match(term, '[a-z]+(?:[_-][a-z]+)+')

@@ -122,6 +122,16 @@ def test_all_lines_are_reunified(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want and max(n for _, _, n, _ in want) > 3
 
 
+def test_structured_patterns_reach_documents(spark, tmp_path):
+    """A table with the letter that SQL has checked gives the letter's terms, and the other rows theirs."""
+    letter = catalog.values(spark, catalog.LETTER, "doc_id, text")
+    more = spark.createDataFrame([(8, "10.0.0.9\n10.0.0.9 and +44 7700 900123"), (9, None), (10, "")], "doc_id int, text string")
+    letter.union(more).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["detect_structured_documents"](spark, str(tmp_path)).collect())
+    want = [tuple(r) for r in catalog.QUERIES["detect_structured_all"](spark, str(tmp_path)).collect()]
+    assert len(want) > 10 and got == sorted([*want, ("8", "IP", "10.0.0.9"), ("8", "IP", "10.0.0.9"), ("8", "PHONE", "+44 7700 900123")])
+
+
 def test_providers(spark):
     docs = texts(spark, "Anna Salai met Jane Smith, then Oak Lane", "Anna Salai met Jane Smith, then Oak Lane", "")
     found = models.ner(segments.segments_of_texts(docs))

@@ -55,7 +55,8 @@ def edit_matches(words: DataFrame, known: DataFrame, max_distance: int = 2) -> D
 
 def sound_matches(words: DataFrame, known: DataFrame) -> DataFrame:
     """word, target: the first target that sounds like each distinct word, lengths at most three apart."""
-    left = words.select("word").distinct().withColumn("code", sound_code_udf(F.lower("word"))).filter("code <> ''")
+    # The count keeps the optimiser from coding every word before they are made distinct.
+    left = words.groupBy("word").agg(F.count("*").alias("n")).select("word", sound_code_udf(F.when(F.col("n") > 0, F.lower("word"))).alias("code")).filter("code <> ''")
     right = known.select("target", "place").withColumn("code", sound_code_udf("target"))
     pairs = left.join(right, "code").filter(F.abs(F.length("word") - F.length("target")) <= SOUND_GAP)
     best = Window.partitionBy("word").orderBy("place")

@@ -574,6 +574,14 @@ def fuzzy_phonetic(spark, sf_dir):
     return _part_words(spark, sf_dir).withColumn("code", sound_code_udf("word"))
 
 
+@query()
+def fuzzy_phonetic_match(spark, sf_dir):
+    """The first word of part that sounds like each word of documents."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"(?U)\s+")).alias("word")).filter(F.length("word") >= similarity.MIN_WORD).distinct()
+    known = _part_words(spark, sf_dir).select(F.lower("word").alias("target")).distinct().withColumn("place", F.col("target"))
+    return similarity.sound_matches(words, known)
+
+
 _COS = "list_cosine_similarity(q.embedding, t.embedding)"
 
 

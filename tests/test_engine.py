@@ -192,6 +192,23 @@ def test_all_vectors_meet(spark, monkeypatch, tmp_path, block, most_bytes):
     assert {(r.id, r.target_id) for r in own} == {(i, 40 if i in (60, 61) else i) for i, v in rows if v and any(v)}
 
 
+def test_words_meet_targets_that_sound_alike(spark, tmp_path):
+    from sparkredact.functions.python import sound_code
+
+    docs = [(1, "Smyth fone kat  Steven\nstephenson 1234 Katherine"), (2, "Smith smythereenes Jonson"), (3, None)]
+    names = ["smith stephen", "Catherine johnson", "jonsen smooth the"]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, n) for i, n in enumerate(names)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    targets = sorted({w.lower() for n in names for w in n.split() if len(w) >= 4})
+    want = {}
+    for word in {w for _, t in docs for w in (t or "").split() if len(w) >= 4}:
+        alike = [t for t in targets if sound_code(word.lower()) == sound_code(t) != "" and abs(len(word) - len(t)) <= 3]
+        if alike:
+            want[word] = alike[0]
+    got = [tuple(r) for r in catalog.QUERIES["fuzzy_phonetic_match"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) > 3 and dict(got) == want
+
+
 def test_false_positives_go(spark):
     rows = [("the", "NAME"), ("N/A", "ID"), ("123", "NAME"), ("123", "ID"), ("x", "ORG"), ("Plaintiff", "NAME"), ("Plaintiff", "ORG")]
     kept, gone = lookup.validate(spark.createDataFrame(rows, "original_term string, pii_category string"))

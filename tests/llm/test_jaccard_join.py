@@ -122,6 +122,36 @@ def test_sketch_never_exceeds_the_difference():
         y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 30), dtype=np.uint64)]))
         if not len(y):
             continue
-        a, b = (J._Entry(i, len(s), J.parity_sketch(s), True, False, True, 0, -1) for i, s in enumerate((x, y)))
+        a, b = sorted((J._Entry(i, len(s), J.parity_sketch(s, J.sketch_bits(len(s)))) for i, s in enumerate((x, y))), key=lambda e: e.n)
         size = min(a.size, b.size)
-        assert (a.at(size) ^ b.at(size)).bit_count() <= len(np.setxor1d(x, y))
+        apart = (a.at(size) ^ b.at(size)).bit_count()
+        assert apart <= len(np.setxor1d(x, y))
+        near, bits = J._Sorted([a, b], 50).before(1)
+        assert near.tolist() == ([0] if a.may_link(b, 50) and 2 * a.n >= b.n else []) and bits.tolist() == [apart] * len(near)
+
+
+def under_the_threshold(percent, n=400):
+    """Texts that share a passage so long that any two are just less similar than that, and pairs of them that are more."""
+    own = 20
+    shared = 2 * own * percent // (100 - percent) - own  # of single words: shared / (shared + 2 own) < percent
+    while 100 * shared >= percent * (shared + 2 * own):
+        shared -= 1
+    base = [f"w{i}" for i in range(shared)]
+    texts = [base + [f"v{i}x{j}" for j in range(own)] for i in range(n)]
+    texts += [t[:-1] + [f"changed{i}"] for i, t in enumerate(texts[: n // 8])]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("limit", [4096, 100])
+def test_many_texts_just_under_the_threshold(spark, monkeypatch, percent, limit):
+    """Rows of clusters follow the nodes, not their pairs, and just the true links come out."""
+    monkeypatch.setattr(J, "LIST", limit)
+    table = under_the_threshold(percent)
+    kept = {}
+    keep = J.Workspace.keep
+    monkeypatch.setattr(J.Workspace, "keep", lambda self, df, name, **more: kept.setdefault(name, keep(self, df, name, **more)))
+    got = J.near_classes(spark.createDataFrame(table, "doc_id long, text string").repartition(4), words=1, percent=percent).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(table, 1, percent)
+    blocks = -(-len(table) // limit)
+    assert kept["clusters"].count() <= 8 * len(table) * blocks and kept["edges"].count() <= 8 * len(table)

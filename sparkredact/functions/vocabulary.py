@@ -101,6 +101,8 @@ ORG_SUFFIXES = (
     "Enterprises|& Co\\.?|University|Institute|Hospital|Council|Foundation|Academy|Centre|Center|Clinic|College|School|Trust|Authority|"
     "Bureau|Commission|Agency|Ministry|Department"
 )
+#: What a line with an organisation holds; it is looked for first, since the whole pattern tries every run of capitalised words many ways.
+ORG_END = rf"(?U)(?:{ORG_SUFFIXES})\b"
 ORG = rf"(?U)\b(?:[A-Z][a-zA-Z]*[-']?[a-zA-Z]*[\s-]?){{1,5}}(?:{ORG_SUFFIXES})\b"
 TITLES = (
     "Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Rev|Reverend|Sgt|Sergeant|Lt|Lieutenant|Cpl|Corporal|Capt|Captain|Col|Colonel|Gen|General|Cmdr|"

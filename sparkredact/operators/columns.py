@@ -63,10 +63,10 @@ def mapped_columns(segments: DataFrame, mapping: dict[int, str]) -> DataFrame:
     return union(found)
 
 
-def cross_reference(segments: DataFrame, lookup: DataFrame, mapping: dict[int, str], n_columns: int) -> DataFrame:
+def cross_reference(segments: DataFrame, lookup: DataFrame, mapping: dict[int, str], n_columns: int, mode: str = "per_file") -> DataFrame:
     """Segments with single-word names masked in columns that aren't mapped, where they begin with a capital.
 
-    Terms are joined to the words of those cells, not tried on every cell.
+    Terms are joined to the words of those cells, not tried on every cell; in per_file mode only those of the cell's document.
     """
     open_columns = [i for i in range(n_columns) if mapping.get(i, "skip").lower() in V.NOT_TAGGED]
     if not open_columns:
@@ -75,7 +75,9 @@ def cross_reference(segments: DataFrame, lookup: DataFrame, mapping: dict[int, s
     cells = segments.filter("line_number <> 1").select("doc_id", "line_number", "sub_index", F.posexplode("cells").alias("i", "c")).filter(F.col("c.col_index").isin(*open_columns))
     words = cells.select("doc_id", "line_number", "sub_index", "i", F.explode(F.array_distinct(F.regexp_extract_all("c.text", F.lit(r"(?U)[\w'’.-]+"), F.lit(0)))).alias("original_term"))
     stems = words.withColumn("original_term", F.explode(F.array_distinct(F.flatten(F.array(F.array(F.col("original_term")), F.split("original_term", r"[.'’-]"))))))
-    hits = stems.join(names.select("original_term", F.col("anonymised_term").alias("tag")), "original_term").distinct()
+    scope = ["doc_id"] if mode == "per_file" else []
+    names = names.select(F.col("scope").alias("doc_id"), "original_term", F.col("anonymised_term").alias("tag")).drop(*([] if scope else ["doc_id"]))
+    hits = stems.join(names, [*scope, "original_term"]).select("doc_id", "line_number", "sub_index", "i", "original_term", "tag").distinct()
     one = F.struct((-F.length("original_term")).alias("size"), T.literal_pattern("original_term").alias("pattern"), F.col("tag"))
     found = hits.groupBy("doc_id", "line_number", "sub_index", "i").agg(F.array_sort(F.collect_list(one)).alias("entries"))
     by_line = found.groupBy("doc_id", "line_number", "sub_index").agg(F.map_from_entries(F.collect_list(F.struct("i", "entries"))).alias("masks"))

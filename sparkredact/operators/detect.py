@@ -39,7 +39,8 @@ def emails(segments: DataFrame) -> DataFrame:
 
 def organisations(segments: DataFrame) -> DataFrame:
     """Capitalised words before a corporate suffix. The separator is optional, so a suffix may end a single word."""
-    return detections(matches(segments, V.ORG), "org", [F.col("pos")], F.col("term"), F.lit("ORG"))
+    ends = segments.filter(line_text().rlike(V.ORG_END))
+    return detections(matches(ends, V.ORG), "org", [F.col("pos")], F.col("term"), F.lit("ORG"))
 
 
 def titled_names(segments: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..lineage import cut
 
 
 def _scoped(detections: DataFrame, mode: str) -> DataFrame:
@@ -14,13 +15,25 @@ def _scoped(detections: DataFrame, mode: str) -> DataFrame:
     return detections.withColumn("scope", scope).withColumn("norm_key", T.normalize_key("original"))
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows of one scope with n, their place by ``order`` among those of their category, counted in ranges of the order side by side.
+
+    Ranges are checkpointed, so a task that is run again finds its rows in the same range.
+    """
+    ranged = cut(rows.repartitionByRange("order").withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy("category").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    bases = ranged.groupBy("category", "range").agg(F.count("*").alias("rows")).select("category", "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("category", "range").orderBy("order"))
+    return ranged.withColumn("own", own).join(bases, ["category", "range"]).withColumn("n", F.col("own") + F.col("base")).drop("own", "base", "range")
+
+
 def assign_tags(detections: DataFrame, mode: str = "per_file", doc_order: str = "doc_id", counters: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """detections to lookup rows. The first sighting of a key gives its category and number, later ones nothing.
 
     First means by stage, document (in persist mode), line and ord. A detection with alias_of takes the tag of
     that term's key and no number of its own. ``counters`` (category, n) are numbers already given, ``known`` (norm_key) keys
-    that have tags, for a lookup that is carried on. Only distinct keys reach the window that counts, and that only per
-    scope and category.
+    that have tags, for a lookup that is carried on. Only distinct keys are counted: per document and category by a window,
+    over all documents in ranges.
     """
     order = F.struct("stage", F.col(doc_order).alias("doc"), "line_number", "ord") if mode == "per_file" else F.struct(F.col(doc_order).alias("doc"), "stage", "line_number", "ord")
     rows = _scoped(detections, mode).withColumn("order", order)
@@ -28,7 +41,8 @@ def assign_tags(detections: DataFrame, mode: str = "per_file", doc_order: str =
     firsts = rows.groupBy("scope", "norm_key").agg(F.min_by(row, "order").alias("r")).select("scope", "norm_key", "r.*")
     if known is not None:
         firsts = firsts.join(known.select("norm_key"), "norm_key", "left_anti")
-    numbered = firsts.filter("alias_of is null").withColumn("n", F.row_number().over(Window.partitionBy("scope", "category").orderBy("order")))
+    own = firsts.filter("alias_of is null")
+    numbered = own.withColumn("n", F.row_number().over(Window.partitionBy("scope", "category").orderBy("order"))) if mode == "per_file" else _ranked(own)
     if counters is not None:
         numbered = numbered.join(counters.select("category", F.col("n").alias("given")), "category", "left").withColumn("n", F.col("n") + F.coalesce("given", F.lit(0))).drop("given")
     tagged = numbered.withColumn("tag", F.concat(F.lit("["), "category", F.lit(" "), F.col("n").cast("string"), F.lit("]")))

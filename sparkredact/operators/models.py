@@ -34,6 +34,13 @@ def safely(provider: Provider) -> Provider:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            try:
+                whole = list(provider(iter([frame])))
+            except Exception:  # noqa: BLE001  which line it was, the lines one by one will show
+                whole = None
+            if whole is not None:
+                yield from whole
+                continue
             for line in frame["line"]:
                 try:
                     yield from provider(iter([pd.DataFrame({"line": [line]})]))

@@ -26,7 +26,10 @@ def greedy_matches(gold: DataFrame, found: DataFrame, relaxed: bool = False) ->
     relaxed) that contains them or lies in them. The order matters, so each document's few entities are matched in Python.
     """
 
+    cols = ["doc_id", "ord", "entity", "category"]
+
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.set_axis(cols, axis=1)
         key = (left if len(left) else right)["doc_id"].iloc[0]
         left, right = left.sort_values("ord"), right.sort_values("ord")
         texts = [x.lower().strip() for x in right["entity"]]
@@ -41,9 +44,9 @@ def greedy_matches(gold: DataFrame, found: DataFrame, relaxed: bool = False) ->
         rows += [(key, kinds[i], "fp") for i in free]
         return pd.DataFrame(rows, columns=["doc_id", "category", "outcome"])
 
-    cols = ["doc_id", "ord", "entity", "category"]
     kind = gold.schema["doc_id"].dataType.simpleString()
-    return gold.select(cols).groupBy("doc_id").cogroup(found.select(cols).groupBy("doc_id")).applyInPandas(match, f"doc_id {kind}, category string, outcome string")
+    other = found.select([F.col(c).alias(f"found_{c}") for c in cols])  # both may come from one table
+    return gold.select(cols).groupBy("doc_id").cogroup(other.groupBy("found_doc_id")).applyInPandas(match, f"doc_id {kind}, category string, outcome string")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -83,7 +86,7 @@ def token_offsets(docs: DataFrame, id_col: str, text_col: str, tokens_col: str)
     zero = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
 
     def step(s: Column, token: Column) -> Column:
-        at = F.locate_from(token, F.col(text_col), s["at"]) if hasattr(F, "locate_from") else F.call_function("locate", token, F.col(text_col), s["at"] + 1) - 1
+        at = F.call_function("locate", token, F.col(text_col), s["at"] + 1) - 1
         start = F.when(at >= 0, at).otherwise(s["at"])
         stop = F.when(at >= 0, at + F.length(token)).otherwise(s["at"])
         return F.struct(stop.cast("int").alias("at"), F.concat(s["found"], F.array(F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop")))).alias("found"))
@@ -98,9 +101,9 @@ def bio_labels(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 
     A token goes to the span that begins first, of those the longest; a span's first own token is B-.
     """
-    s = spans.select("doc_id", F.col("start").alias("s_start"), F.col("stop").alias("s_stop"), F.col("label").alias("s_label")).distinct()
-    overlap = (tokens["doc_id"] == s["doc_id"]) & (tokens["stop"] > s["s_start"]) & (tokens["start"] < s["s_stop"])
-    pairs = tokens.join(s, overlap, "left").drop(s["doc_id"])
+    s = spans.select(F.col("doc_id").alias("s_doc"), F.col("start").alias("s_start"), F.col("stop").alias("s_stop"), F.col("label").alias("s_label")).distinct()
+    overlap = (F.col("doc_id") == F.col("s_doc")) & (F.col("stop") > F.col("s_start")) & (F.col("start") < F.col("s_stop"))
+    pairs = tokens.join(s, overlap, "left").drop("s_doc")
     owner = Window.partitionBy("doc_id", "i").orderBy(F.col("s_start").asc_nulls_last(), F.col("s_start") - F.col("s_stop"), "s_label")
     owned = pairs.withColumn("r", F.row_number().over(owner)).filter("r = 1").drop("r")
     first = Window.partitionBy("doc_id", "s_start", "s_stop", "s_label").orderBy("i")

@@ -63,14 +63,18 @@ def sound_matches(words: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("word", "target")
 
 
+def _fresh(words: DataFrame, lookup: DataFrame, common: DataFrame) -> DataFrame:
+    """Distinct words of four letters or more that are neither in the lookup nor common (part)."""
+    fresh = words.select("word").distinct().filter(F.length("word") >= MIN_WORD).withColumn("norm_key", T.normalize_key("word"))
+    return fresh.join(lookup.select("norm_key"), "norm_key", "left_anti").withColumn("part", F.lower("word")).join(common, "part", "left_anti").select("word")
+
+
 def fuzzy_aliases(words: DataFrame, lookup: DataFrame, common: DataFrame, max_distance: int = 2) -> DataFrame:
     """word, target, tag, category, by: misspellings of known names and places, else words that sound like them.
 
     Words already in the lookup and common words (part) are left out.
     """
-    known = targets(lookup)
-    fresh = words.select("word").distinct().filter(F.length("word") >= MIN_WORD).withColumn("norm_key", T.normalize_key("word"))
-    fresh = fresh.join(lookup.select("norm_key"), "norm_key", "left_anti").withColumn("part", F.lower("word")).join(common, "part", "left_anti").select("word")
+    known, fresh = targets(lookup), _fresh(words, lookup, common)
     typos = edit_matches(fresh, known, max_distance).select("word", "target", F.lit("edits").alias("by"))
     alike = sound_matches(fresh.join(typos, "word", "left_anti"), known).select("word", "target", F.lit("sound").alias("by"))
     return typos.unionByName(alike).join(known.select("target", "tag", "category"), "target").select("word", "target", "tag", "category", "by")
@@ -176,3 +180,16 @@ def vector_matches(queries: DataFrame, known: DataFrame, threshold: float = 0.85
     close = pairs.select("q_keys", "q_vectors", "keys", "places", "vectors", "width").mapInArrow(_best(threshold, others), schema)
     best = close.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("place")).alias("earlier"), "target_id")).alias("b"))
     return best.select("id", "b.target_id", "b.similarity")
+
+
+def vector_aliases(words: DataFrame, lookup: DataFrame, common: DataFrame, vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """word, target, tag, category, by: words whose vector (word, vector) is close to that of a known name or place.
+
+    Words already in the lookup, common words and words without a vector are left out. Of equally close targets the
+    last by the alphabet counts.
+    """
+    known = targets(lookup)
+    aimed = known.join(vectors.select(F.col("word").alias("target"), "vector"), "target").select(F.col("target").alias("target_id"), F.lit(0).alias("place"), "vector")
+    asked = _fresh(words, lookup, common).withColumn("low", F.lower("word")).join(vectors.select(F.col("word").alias("low"), "vector"), "low").select(F.col("word").alias("id"), "vector")
+    close = vector_matches(asked, aimed, threshold).select(F.col("id").alias("word"), F.col("target_id").alias("target"), F.lit("vectors").alias("by"))
+    return close.join(known.select("target", "tag", "category"), "target").select("word", "target", "tag", "category", "by")

@@ -6,6 +6,10 @@ names, headers, label streams) are VALUES lists that both sides share.
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,9 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..functions.python import sound_code_udf
 from ..operators import columns, detect, lookup, models, replay, scoring, segments, similarity
+from ..lineage import shared_folder
 from ..options import Options
+from ..sources import files
 from .engine import Engine
 from .exact import redact_exactly
 
@@ -78,17 +84,85 @@ def split_long_lines(spark, sf_dir):
     return rows.groupBy("doc_id", "line_number").agg(F.count("*").alias("n_chunks"), F.max(F.length(segments.line_text())).alias("max_len")).filter("n_chunks > 1")
 
 
-@query(f"WITH {LINES} SELECT doc_id::VARCHAR AS doc_id, line_number, md5(line) AS line_md5 FROM lines WHERE length(line) <= 500")
+@query(f"WITH {LINES} SELECT doc_id::VARCHAR AS doc_id, line_number, md5(regexp_replace(line, '[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\v]+', '', 'g')) AS line_md5 FROM lines")
 def reunify_sublines(spark, sf_dir):
+    """Every line cut to 500 characters and joined again; white space is left out, since cuts take some with them."""
     whole = segments.reunify_sublines(segments.split_long_lines(_docs(spark, sf_dir), 500))
-    return whole.filter(F.size("cells") == 1).select("doc_id", F.col("line_number").cast("long").alias("line_number"), F.md5(segments.line_text()).alias("line_md5"))
+    text = F.array_join(F.transform("cells", lambda c: c["text"]), "")
+    return whole.select("doc_id", F.col("line_number").cast("long").alias("line_number"), F.md5(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", "")).alias("line_md5"))
 
 
-@query()
-def reunify_all_lines(spark, sf_dir):
-    """Every line, also those that were cut; reunify_sublines is its check by SQL, over lines that weren't."""
-    whole = segments.reunify_sublines(segments.split_long_lines(_docs(spark, sf_dir), 500))
-    return whole.select("doc_id", F.col("line_number").cast("long").alias("line_number"), F.size("cells").cast("long").alias("n_cells"), F.md5(segments.line_text()).alias("line_md5"))
+def _written(rows: DataFrame, what: str) -> str:
+    """A folder of files that the sinks wrote from segments."""
+    folder = f"{shared_folder(rows.sparkSession)}/{what}-{uuid.uuid4().hex[:12]}"
+    files.write_files(files.render(rows), folder)
+    return folder
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.select("source_file", F.col("line_number").cast("int").alias("line_number"), F.posexplode(F.transform("cells", lambda c: c["text"])).alias("col_index", "text"))
+
+
+def _customer_file(spark, sf_dir, kind: str) -> DataFrame:
+    """Customers as a table file, with commas, quotes and line feeds in a column."""
+    rows = table(spark, sf_dir, "customer").withColumns({"c_custkey": F.col("c_custkey") + 1, "note": F.concat(F.lit('a, "'), "c_mktsegment", F.lit('"'), F.lit("\n" if kind == "csv" else ";"), "c_custkey")})
+    return segments.segments_of_rows(rows, "customers", "c_custkey", ["c_name", "note"]).withColumns({"source_format": F.lit(kind), "source_file": F.lit(f"customers.{kind}")})
+
+
+def _customer_sql(kind: str) -> str:
+    feed = "chr(10)" if kind == "csv" else "';'"
+    return (
+        f"WITH c AS (SELECT (c_custkey + 2)::INT AS line_number, [c_name, 'a, \"' || c_mktsegment || '\"' || {feed} || c_custkey] AS t FROM customer UNION ALL SELECT 1, ['c_name', 'note']) "
+        f"SELECT 'customers_anon.{kind}' AS source_file, line_number, unnest([0, 1]) AS col_index, unnest(t) AS text FROM c"
+    )
+
+
+@query(f"WITH {LINES} SELECT doc_id || '_anon.txt' AS source_file, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_number)) AS lines_md5 FROM lines GROUP BY doc_id")
+def files_txt(spark, sf_dir):
+    """Every document written as a text file and read back."""
+    rows = files.read_files(spark, f"{_written(_docs(spark, sf_dir), 'txt')}/*")
+    whole = rows.groupBy("source_file").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_number", segments.line_text().alias("line")))).alias("lines"))
+    return whole.select("source_file", "n_lines", F.md5(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("lines_md5"))
+
+
+@query(_customer_sql("csv"))
+def files_csv(spark, sf_dir):
+    return _cells(files.read_files(spark, f"{_written(_customer_file(spark, sf_dir, 'csv'), 'csv')}/*"))
+
+
+@query(_customer_sql("xlsx"))
+def files_xlsx(spark, sf_dir):
+    return _cells(files.read_files(spark, f"{_written(_customer_file(spark, sf_dir, 'xlsx'), 'xlsx')}/*"))
+
+
+@query("SELECT 'benchmark_anon.docx' AS source_file, (row_number() OVER (ORDER BY item_id))::INT AS line_number, 0 AS col_index, text FROM benchmark")
+def files_docx(spark, sf_dir):
+    """The benchmark's passages as paragraphs of one document."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    rows = segments.segments_of_rows(rows, "benchmark", "item_id", ["text"], header=False).withColumns({"source_format": F.lit("docx"), "source_file": F.lit("benchmark.docx")})
+    return _cells(files.read_files(spark, f"{_written(rows, 'docx')}/*"))
+
+
+@query("""
+WITH h AS (SELECT unnest([0, 1, 2]) AS col_index, unnest(['c_name', 'email', 'note']) AS header, unnest(['NAME', 'EMAIL', 'Freetext']) AS category),
+s AS (SELECT c_custkey AS k, c_name AS a, c_name || '@x.org' AS b, c_mktsegment AS c FROM customer WHERE c_custkey < (SELECT min(c_custkey) + 3 FROM customer)),
+l AS (SELECT array_to_string(list(a ORDER BY k), '|') AS a, array_to_string(list(b ORDER BY k), '|') AS b, array_to_string(list(c ORDER BY k), '|') AS c FROM s)
+SELECT h.*, CASE col_index WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS samples FROM h, l""")
+def files_preview(spark, sf_dir):
+    """Header, suggested category and the first rows of a table."""
+    rows = table(spark, sf_dir, "customer")
+    first = rows.agg(F.min("c_custkey")).first()[0]
+    rows = rows.select((F.col("c_custkey") - first + 1).alias("k"), "c_name", F.concat("c_name", F.lit("@x.org")).alias("email"), F.col("c_mktsegment").alias("note"))
+    shown = files.preview(segments.segments_of_rows(rows, "customers", "k", ["c_name", "email", "note"]))
+    return shown.select("col_index", "header", "category", F.array_join("samples", "|").alias("samples"))
+
+
+@query("SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT n_name FROM nation) WHERE length(trim(word)) >= 3")
+def dictionary_built(spark, sf_dir):
+    """Words of parts read from a file of words, and nations, as one dictionary."""
+    folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex[:12]}"
+    table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).select(F.concat(F.upper("word"), F.lit("\n")).alias("value")).write.text(folder)
+    return files.build_dictionary(files.read_dictionary(spark, folder), [table(spark, sf_dir, "nation").select(F.col("n_name").alias("word"))])
 
 
 HEADERS = "(1, 'Email'), (2, 'Manager Email'), (3, ' First Name '), (4, 'Birth Date'), (5, 'Company Phone'), (6, 'xyz'), (7, 'ID'), (8, 'Row number'), (9, 'Postal Code'), (10, 'State of play'), (11, 'Job Title')"
@@ -224,10 +298,19 @@ def detect_card(spark, sf_dir):
     return _counted(detect.structured(_docs(spark, sf_dir)).filter("category = 'ID'"))
 
 
-@query(r"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html || ' ' || url, 'https?://[^\s<>"'')\]]+')) AS term FROM pages) SELECT page_id::VARCHAR AS page_id, term, count(*) AS n FROM m GROUP BY page_id, term""")
+@query(r"""
+WITH t AS (SELECT page_id, html || ' ' || url || ' (ftp://files.example/' || page_id || ') www.example.org/' || page_id AS a FROM pages),
+l AS (SELECT page_id, unnest(regexp_split_to_array(a, '\r\n|\r|\n')) AS a FROM t),
+r AS (SELECT *, regexp_replace(regexp_replace(a, '\[[^\]]*\]', chr(1), 'g'), '(?i)https?://[^\s<>"'')\]]+', chr(1), 'g') AS b FROM l),
+w AS (SELECT *, regexp_replace(b, '(?i)ftp://[^\s<>"'')\]]+', chr(1), 'g') AS c FROM r),
+m AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(a, '\[[^\]]*\]', chr(1), 'g'), '(?i)https?://[^\s<>"'')\]]+')) AS term FROM r UNION ALL SELECT page_id, unnest(regexp_extract_all(b, '(?i)ftp://[^\s<>"'')\]]+')) FROM w
+  UNION ALL SELECT page_id, unnest(regexp_extract_all(c, '(?i)\bwww\.[\w.-]+\.\w{2,}(?:/[^\s<>"'')\]]*)?')) FROM w)
+SELECT page_id::VARCHAR AS page_id, term, count(*) AS n FROM m GROUP BY page_id, term""")
 def detect_url(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "html", "url").alias("text"))
-    return _counted(detect.structured(segments.segments_of_texts(pages, "page_id"), V.STRUCTURED[:1]), "page_id")
+    """All ordered patterns over pages, of which the three for URLs are shown; an ftp and a www address are added to each page."""
+    more = F.concat(F.lit("(ftp://files.example/"), "page_id", F.lit(") www.example.org/"), "page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "html", "url", more).alias("text"))
+    return _counted(detect.structured(segments.segments_of_texts(pages, "page_id")).filter("category = 'URL'"), "page_id")
 
 
 LETTER = (
@@ -346,10 +429,18 @@ def _customers(spark, sf_dir):
     return segments.segments_of_rows(rows.withColumn("c_custkey", F.col("c_custkey") + 1), "customers", "c_custkey", ["c_name", "n_name", "c_mktsegment"])
 
 
-@query("SELECT (c_custkey + 2)::INT AS line_number, c_name AS term, 'NAME' AS category FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT (c_custkey + 2)::INT, n_name, 'LOCATION' FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("""
+WITH c AS (SELECT (c_custkey + 2)::INT AS line_number, replace(c_name, '#', ' ') AS name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+w AS (SELECT *, string_split(name, ' ') AS w, lower(string_split(name, ' ')[1]) AS f, lower(string_split(name, ' ')[-1]) AS l FROM c),
+v AS (SELECT line_number, name, unnest([f || '.' || l, l || '.' || f, f[1] || '.' || l, f || '.' || l[1], f || l, f[1] || l]) AS term FROM w WHERE len(w) > 1)
+SELECT line_number, name AS term, 'NAME' AS category, NULL::VARCHAR AS alias_of FROM c UNION ALL SELECT line_number, n_name, 'LOCATION', NULL FROM c
+UNION ALL SELECT line_number, unnest(w), 'NAME', name FROM w WHERE len(w) > 1 UNION ALL SELECT line_number, term, 'NAME', name FROM v WHERE length(term) >= 5""")
 def column_map_customer(spark, sf_dir):
-    found = columns.mapped_columns(_customers(spark, sf_dir), {0: "NAME", 1: "LOCATION", 2: "Freetext"})
-    return found.filter("alias_of is null").select("line_number", F.col("original").alias("term"), "category")
+    """Mapped columns of customers, names with their words and variations as aliases."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.withColumns({"c_custkey": F.col("c_custkey") + 1, "c_name": F.replace("c_name", F.lit("#"), F.lit(" "))})
+    found = columns.mapped_columns(segments.segments_of_rows(rows, "customers", "c_custkey", ["c_name", "n_name", "c_mktsegment"]), {0: "NAME", 1: "LOCATION", 2: "Freetext"})
+    return found.select("line_number", F.col("original").alias("term"), "category", "alias_of")
 
 
 @query("""
@@ -426,6 +517,17 @@ def lookup_persist(spark, sf_dir):
     return _shown(lookup.assign_tags(_found(spark, sf_dir).withColumn("doc_no", F.col("doc_id").cast("long")), "persist", "doc_no"))
 
 
+@query(f"""WITH {FOUND}, first AS (SELECT *, row_number() OVER (PARTITION BY norm_key ORDER BY doc_id, stage, line_number, k, pos) AS r FROM f), one AS (SELECT * FROM first WHERE r = 1),
+t AS (SELECT norm_key, '[' || category || ' ' || row_number() OVER (PARTITION BY category ORDER BY doc_id, stage, line_number, k, pos) || ']' AS tag FROM one),
+w AS (SELECT DISTINCT upper(term) AS term, norm_key FROM f UNION ALL SELECT n_name, '?' FROM nation)
+SELECT w.term, t.tag AS anonymised_term FROM w LEFT JOIN t USING (norm_key)""")
+def lookup_find(spark, sf_dir):
+    """The tag of each term as it is looked up in another case, and of terms that aren't known."""
+    found = _found(spark, sf_dir)
+    terms = found.select(F.upper("original").alias("term")).distinct().union(table(spark, sf_dir, "nation").select("n_name"))
+    return lookup.find(lookup.assign_tags(found.withColumn("doc_no", F.col("doc_id").cast("long")), "persist", "doc_no"), terms, "term")
+
+
 @query(f"""
 WITH d AS (SELECT * FROM (VALUES {LETTER}) t(doc_id, text)), n AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '{_re2(V.TITLED_NAME)}', 1))) AS term,
   unnest(range(1, len(regexp_extract_all(text, '{_re2(V.TITLED_NAME)}', 1)) + 1)) AS pos FROM d),
@@ -499,13 +601,15 @@ def review_decisions(spark, sf_dir):
     return lookup.review(lookup.assign_tags(detect.titled_names(_letter(spark))), decisions).select("scope", "original_term", "anonymised_term")
 
 
-TEXTS = "(1, '[NAME 1] works at NAME Corp', 'NAME', '[JOBTITLE 3]'), (2, 'see [Jane 2019], Jane and Janet', 'Jane', '[NAME 1]'), (3, 'a [ stray Jane', 'Jane', '[NAME 1]'), (4, 'a ] stray Jane.', 'Jane', '[NAME 1]'), (5, 'x+y and x+y+z', 'x+y', '[ID 1]'), (6, '', 'Jane', '[NAME 1]')"
-EXPECTED = "(1, '[NAME 1] works at [JOBTITLE 3] Corp'), (2, 'see [Jane 2019], [NAME 1] and Janet'), (3, 'a [ stray [NAME 1]'), (4, 'a ] stray [NAME 1].'), (5, '[ID 1] and [ID 1]+z'), (6, '')"
-
-
-@query(f"SELECT id, done FROM (VALUES {EXPECTED}) t(id, done)")
+@query(r"""
+WITH d AS (SELECT doc_id, replace('[the ' || doc_id || '] ' || regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g'), 'and', '[and') AS text FROM documents),
+p AS (SELECT doc_id, regexp_extract_all(text, '\[[^\]]*\]|[^\[]+|\[') AS parts FROM d)
+SELECT doc_id, md5(array_to_string(list_transform(parts, lambda x: CASE WHEN regexp_full_match(x, '\[[^\]]*\]') THEN x ELSE regexp_replace(x, '\bthe\b', '<$1>', 'g') END), '')) AS done FROM p""")
 def safe_replace(spark, sf_dir):
-    return values(spark, TEXTS, "id, text, term, tag").select("id", T.safe_replace("text", "term", "tag").alias("done"))
+    """A word of every whole document replaced outside brackets, some of which aren't closed."""
+    text = F.concat(F.lit("[the "), "doc_id", F.lit("] "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "_"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.replace(text, F.lit("and"), F.lit("[and")).alias("text"), F.lit("the").alias("term"), F.lit("<$1>").alias("tag"))
+    return rows.select("doc_id", F.md5(T.safe_replace("text", "term", "tag")).alias("done"))
 
 
 # ---- models' rules ------------------------------------------------------------------------------------------------------
@@ -522,13 +626,31 @@ def span_overlap(spark, sf_dir):
     return models.uncontained(values(spark, SPANS, "line, start, stop, type, score"), ["line"]).select("line", "start", "stop", "type")
 
 
-TOKENS = "(1, 0, 'O', 0.9, 0, 0), (1, 1, 'B-GIVENNAME', 0.9, 0, 4), (1, 2, 'I-SURNAME', 0.8, 5, 10), (1, 3, 'O', 0.9, 11, 13), (1, 4, 'I-CITY', 0.7, 14, 20), (1, 5, 'B-CITY', 0.7, 21, 26), (1, 6, 'I-CITY', 0.3, 27, 30), (1, 7, 'I-CITY', 0.7, 31, 33), (2, 0, 'I-NOSUCH', 0.9, 0, 3), (2, 1, 'I-EMAIL', 0.9, 4, 9), (2, 2, 'I-TAXNUM', 0.9, 10, 12)"
-MERGED = "(1, 0, 10, 'NAME'), (1, 14, 20, 'LOCATION'), (1, 21, 26, 'LOCATION'), (1, 31, 33, 'LOCATION'), (2, 4, 9, 'EMAIL'), (2, 10, 12, 'ID')"
-
-
-@query(f"SELECT * FROM (VALUES {MERGED}) t(line, start, stop, category)")
+@query("""
+WITH t AS (SELECT event_id // 50 AS line, event_id % 50 AS pos, ['O', 'B-GIVENNAME', 'I-SURNAME', 'I-CITY', 'B-CITY', 'I-NOSUCH', 'I-SURNAME'][1 + (event_id * 7919 // 13) % 7] AS label, (event_id * 104729 // 11) % 10 / 10.0 AS score FROM events),
+c AS (SELECT *, CASE WHEN score < 0.5 OR pos = 0 THEN NULL WHEN label IN ('B-GIVENNAME', 'I-SURNAME') THEN 'NAME' WHEN label IN ('I-CITY', 'B-CITY') THEN 'LOCATION' END AS category FROM t),
+b AS (SELECT *, lag(category) OVER (PARTITION BY line ORDER BY pos) AS before FROM c),
+i AS (SELECT *, count(*) FILTER (category IS NOT NULL AND (label[1:2] = 'B-' OR before IS NULL OR before <> category)) OVER (PARTITION BY line ORDER BY pos) AS island FROM b)
+SELECT line, (min(pos) * 10)::INT AS start, (max(pos) * 10 + 8)::INT AS stop, category FROM i WHERE category IS NOT NULL GROUP BY line, island, category""")
 def span_merge(spark, sf_dir):
-    return models.merge_tokens(values(spark, TOKENS, "line, pos, label, score, start, stop"), ["line"])
+    """Token predictions made from events, fifty a line; the first token of each line is a special one, at (0, 0)."""
+    k = F.col("event_id")
+    labels = F.array(*map(F.lit, ["O", "B-GIVENNAME", "I-SURNAME", "I-CITY", "B-CITY", "I-NOSUCH", "I-SURNAME"]))
+    tokens = table(spark, sf_dir, "events").select(
+        F.floor(k / 50).alias("line"), (k % 50).alias("pos"), F.get(labels, (F.floor(k * 7919 / 13) % 7).cast("int")).alias("label"), (F.floor(k * 104729 / 11) % 10 / 10).alias("score"),
+        (k % 50 * 10).cast("int").alias("start"), F.when(k % 50 == 0, 0).otherwise(k % 50 * 10 + 8).cast("int").alias("stop"),
+    )
+    return models.merge_tokens(tokens, ["line"])
+
+
+@query("SELECT c_custkey AS id, 0 AS start, (length(c_name) + 2)::INT AS stop, 'NAME' AS category, c_name AS term FROM customer UNION ALL SELECT c_custkey, 1, 5, 'ID', c_name[1:4] FROM customer WHERE c_custkey % 3 > 0")
+def span_terms(spark, sf_dir):
+    """Spans as overlapping windows give them: one twice, one blank, one with white space at its ends, one in some lines alone."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit(" "), "c_name", F.lit(" ")).alias("line"))
+    span = lambda start, stop, category: F.struct(F.lit(start).alias("start"), stop.cast("int").alias("stop"), F.lit(category).alias("category"))
+    whole, blank, some = span(0, F.length("line"), "NAME"), span(0, F.lit(1), "ID"), span(1, F.lit(5), "ID")
+    found = rows.select("id", "line", F.explode(F.array(whole, blank, whole, F.when(F.col("id") % 3 > 0, some).otherwise(blank))).alias("s"))
+    return models.span_terms(found.select("id", "line", "s.*"), ["id"]).select("id", "start", "stop", "category", "term")
 
 
 @query(f"""
@@ -544,6 +666,37 @@ def group_consecutive(spark, sf_dir):
     return whole.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
+def _emails_provider(frames):
+    """Stands in for a token classifier: whatever has the shape of an address, and a label that isn't known."""
+    for frame in frames:
+        rows = [(line, m.start(), m.end(), kind, 0.9) for line in frame["line"] for m in re.finditer(r"[^\W][\w.-]*@[\w.-]+\.\w{2,}", line) for kind in ("B-EMAIL", "NOSUCH")]
+        yield pd.DataFrame(rows, columns=["line", "start", "stop", "type", "score"])
+
+
+@query(_oracle_terms(EMAIL_RE2))
+def encoder_emails(spark, sf_dir):
+    """The encoder's path with a provider that needs no model: distinct lines, labels, trimmed spans back on every line."""
+    return _counted(models.encoder(_docs(spark, sf_dir), _emails_provider)[0])
+
+
+def _tagger(frames):
+    """Stands in for a syntactic tagger: capitalised words are subjects, others adverbs."""
+    for frame in frames:
+        rows = [(line, m.start(), m.end(), "PROPN/nsubj" if m[0][0].isupper() else "ADV/advmod", 1.0) for line in frame["line"] for m in re.finditer(r"\w+", line)]
+        yield pd.DataFrame(rows, columns=["line", "start", "stop", "type", "score"])
+
+
+@query(f"""
+WITH w AS (SELECT c_custkey AS doc_id, 'The ' || n_name || ' Zorn ' || c_mktsegment || ' of Qa Brandt, Kulm met Dorn' AS line FROM customer JOIN nation ON c_nationkey = n_nationkey),
+g AS (SELECT doc_id, unnest([trim(regexp_replace(regexp_replace(line, ' of Qa.*$', ''), '^The ', '')), 'Brandt', 'Kulm', 'Dorn']) AS term FROM w)
+SELECT doc_id::VARCHAR AS doc_id, term, count(*) AS n FROM g GROUP BY ALL""")
+def syntactic_nouns(spark, sf_dir):
+    """Proper nouns in telling roles, neighbours joined; short and common words don't count."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    line = F.concat(F.lit("The "), "n_name", F.lit(" Zorn "), "c_mktsegment", F.lit(" of Qa Brandt, Kulm met Dorn"))
+    return _counted(models.proper_nouns(segments.segments_of_texts(rows.select(F.col("c_custkey").alias("doc_id"), line.alias("text"))), _tagger))
+
+
 @query()
 def ner_title_case(spark, sf_dir):
     return _counted(models.ner(_docs(spark, sf_dir), models.title_case_provider))
@@ -582,26 +735,15 @@ def fuzzy_phonetic_match(spark, sf_dir):
     return similarity.sound_matches(words, known)
 
 
-_COS = "list_cosine_similarity(q.embedding, t.embedding)"
-
-
 @query(
-    f"WITH t AS (SELECT * FROM embeddings WHERE vec_id < 10), p AS (SELECT q.vec_id, t.vec_id AS best_id, {_COS} AS s FROM embeddings q, t), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, best_id) AS r FROM p) "
-    "SELECT vec_id, best_id, round(s, 4) AS similarity FROM r WHERE r = 1 AND s >= 0.3"
+    "WITH p AS (SELECT q.vec_id, t.vec_id AS best_id, list_cosine_similarity(q.embedding, t.embedding) AS s FROM embeddings q JOIN embeddings t ON q.vec_id % 20 = 0 AND q.vec_id <> t.vec_id), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, best_id) AS r FROM p WHERE s >= 0.85) SELECT vec_id, best_id, round(s, 4) AS similarity FROM r WHERE r = 1"
 )
 def embed_match(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    known = rows.filter("vec_id < 10").select(F.col("vec_id").alias("target_id"), F.col("vec_id").alias("place"), F.col("embedding").alias("vector"))
-    best = similarity.vector_matches(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), known, 0.3)
-    return best.select(F.col("id").alias("vec_id"), F.col("target_id").alias("best_id"), F.round("similarity", 4).alias("similarity"))
-
-
-@query()
-def embed_match_all(spark, sf_dir):
-    """For each vector of the table the most similar other one; embed_match is its check by SQL, over ten targets."""
+    """A search: every vector whose id is divisible by 20 against all others, each compared, for the most similar of 0.85 or more."""
     rows = table(spark, sf_dir, "embeddings")
     known = rows.select(F.col("vec_id").alias("target_id"), F.col("vec_id").alias("place"), F.col("embedding").alias("vector"))
-    best = similarity.vector_matches(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), known, 0.3, others=True)
+    best = similarity.vector_matches(rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), known, 0.85, others=True)
     return best.select(F.col("id").alias("vec_id"), F.col("target_id").alias("best_id"), F.round("similarity", 4).alias("similarity"))
 
 
@@ -630,19 +772,39 @@ def score_micro(spark, sf_dir):
     return scoring.micro_scores(table(spark, sf_dir, "labels").select(category.alias("category"), outcome.alias("outcome")))
 
 
-GOLD = """(1, '[{"entity": "Jane Smith", "types": ["nosuch", "name"]}, {"entity": "London", "types": ["city"]}, {"entity": "ab", "types": ["name"]}]'), (2, '[{"entity": "jane@x.org", "types": ["email", "name"]}, {"entity": "thing", "types": ["nosuch"]}]')"""
-GOLD_ROWS = "(1, 0, 'Jane Smith', 'NAME'), (1, 1, 'London', 'LOCATION'), (2, 0, 'jane@x.org', 'EMAIL')"
-GUESSES = "(1, 0, 'Smith', 'NAME'), (1, 1, 'jane smith', 'NAME'), (1, 2, 'Londonderry', 'ORG'), (2, 0, 'JANE@X.ORG', 'EMAIL')"
+@query("SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 0 ELSE 1 END AS ord, c_name AS entity, CASE c_custkey % 3 WHEN 0 THEN 'NAME' ELSE 'LOCATION' END AS category FROM customer WHERE c_custkey % 3 < 2")
+def gold_entities(spark, sf_dir):
+    """Gold lists as JSON, made from customers: the first mapped type counts, short and unmapped entities go."""
+    name, k = F.to_json(F.struct(F.concat(F.lit(" "), "c_name").alias("entity"))), F.col("c_custkey")
+    kinds = F.when(k % 3 == 0, '["nosuch", "name", "city"]').when(k % 3 == 1, '["city"]').otherwise('["nosuch"]')
+    entity = F.concat(F.regexp_replace(name, r"\}$", ', "types": '), kinds, F.lit("}"))
+    short = F.lit('{"entity": "ab", "types": ["name"]}')
+    listed = F.concat(F.lit("["), F.when(k % 3 == 0, F.concat_ws(", ", entity, short)).otherwise(F.concat_ws(", ", short, entity)), F.lit("]"))
+    return scoring.gold_entities(table(spark, sf_dir, "customer").select("c_custkey", listed.alias("entities")), "c_custkey", "entities")
 
 
-@query(f"SELECT * FROM (VALUES {GOLD_ROWS}) t(doc_id, ord, entity, category)")
-def gold_entities(spark, sf_dir):
-    return scoring.gold_entities(values(spark, GOLD, "doc_id, entities"), "doc_id", "entities")
+def _gold(spark, sf_dir):
+    """Each customer's name and nation as gold entities."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    one = lambda i, entity, category: F.struct(F.lit(i).alias("ord"), entity.alias("entity"), F.lit(category).alias("category"))
+    return rows.withColumnRenamed("c_custkey", "doc_id"), one
 
 
-@query("SELECT * FROM (VALUES (1, 'NAME', 'tp'), (1, 'LOCATION', 'fn'), (1, 'NAME', 'fp'), (1, 'ORG', 'fp'), (2, 'EMAIL', 'tp')) t(doc_id, category, outcome)")
+@query("""
+WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 2 = 0 AS a, c_custkey % 3 = 0 AS b, c_custkey % 5 = 0 AS c FROM customer)
+SELECT doc_id, 'NAME' AS category, CASE WHEN a THEN 'tp' ELSE 'fn' END AS outcome FROM c UNION ALL SELECT doc_id, 'LOCATION', CASE WHEN c THEN 'tp' ELSE 'fn' END FROM c
+UNION ALL SELECT doc_id, 'NAME', 'fp' FROM c WHERE a UNION ALL SELECT doc_id, 'ORG', 'fp' FROM c WHERE b""")
 def score_greedy(spark, sf_dir):
-    return scoring.greedy_matches(values(spark, GOLD_ROWS, "doc_id, ord, entity, category"), values(spark, GUESSES, "doc_id, ord, entity, category"))
+    """Guesses made from customers: a part of the name and then the name, the nation as another category, the nation."""
+    rows, one = _gold(spark, sf_dir)
+    k = F.col("doc_id")
+    gold = rows.select("doc_id", F.explode(F.array(one(0, F.col("c_name"), "NAME"), one(1, F.col("n_name"), "LOCATION"))).alias("e")).select("doc_id", "e.*")
+    guesses = [
+        F.when(k % 2 == 0, one(0, F.lower(F.substring("c_name", 3, 99)), "NAME")), F.when(k % 2 == 0, one(1, F.upper("c_name"), "NAME")),
+        F.when(k % 3 == 0, one(2, F.col("n_name"), "ORG")), F.when(k % 5 == 0, one(3, F.lower("n_name"), "LOCATION")),
+    ]
+    found = rows.select("doc_id", F.explode(F.array_compact(F.array(*guesses))).alias("e")).select("doc_id", "e.*")
+    return scoring.greedy_matches(gold, found)
 
 
 WORDS = r"regexp_extract_all(text, '[^\s]+')"
@@ -658,13 +820,18 @@ def token_offsets(spark, sf_dir):
     return scoring.token_offsets(docs, "item_id", "text", "tokens")
 
 
-BIO_TOKENS = "(1, 0, 0, 4), (1, 1, 5, 10), (1, 2, 11, 13), (1, 3, 14, 20), (1, 4, 21, 25)"
-BIO_SPANS = "(1, 0, 10, 'NAME'), (1, 5, 13, 'ORG'), (1, 14, 25, 'LOC'), (1, 14, 20, 'ID')"
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'B-NAME'), (1, 1, 'I-NAME'), (1, 2, 'B-ORG'), (1, 3, 'B-LOC'), (1, 4, 'I-LOC')) t(doc_id, i, label)")
+@query(
+    r"WITH t AS (SELECT item_id AS doc_id, unnest(range(0, len(regexp_extract_all(text, '[^\s]+')))) AS i FROM benchmark) "
+    "SELECT doc_id, i::INT AS i, CASE i WHEN 1 THEN 'B-NAME' WHEN 2 THEN 'I-NAME' WHEN 3 THEN 'I-NAME' WHEN 4 THEN 'B-ORG' WHEN 5 THEN 'I-ORG' WHEN 8 THEN 'B-LOC' ELSE 'O' END AS label FROM t"
+)
 def bio_project(spark, sf_dir):
-    return scoring.bio_labels(values(spark, BIO_TOKENS, "doc_id, i, start, stop"), values(spark, BIO_SPANS, "doc_id, start, stop, label")).select("doc_id", "i", "label")
+    """Spans over the benchmark's tokens: two that overlap, and two that begin together."""
+    tokens = token_offsets(spark, sf_dir)
+    ends = tokens.groupBy("doc_id").agg(F.collect_list(F.struct("i", "start", "stop")).alias("t")).select("doc_id", F.transform(F.array_sort("t"), lambda x: F.struct(x["start"], x["stop"])).alias("t"))
+    span = lambda a, b, label: F.struct(F.get("t", F.lit(a))["start"].alias("start"), F.get("t", F.lit(b))["stop"].alias("stop"), F.lit(label).alias("label"))
+    inside = F.struct(F.get("t", F.lit(8))["start"].alias("start"), (F.get("t", F.lit(8))["start"] + 1).alias("stop"), F.lit("ZIP").alias("label"))
+    spans = ends.select("doc_id", F.explode(F.array(span(1, 3, "NAME"), span(3, 5, "ORG"), span(8, 8, "LOC"), inside)).alias("s")).select("doc_id", "s.*").filter("start is not null AND stop is not null")
+    return scoring.bio_labels(tokens, spans).select("doc_id", "i", "label")
 
 
 ESSAYS = "(1, 'NAME', 'Jane'), (2, 'LOCATION', 'Paris'), (3, 'LOCATION', '12 Oak Lane'), (4, 'URL', 'http://x'), (5, 'DOB', '1/2/99')"
@@ -680,9 +847,28 @@ def term_occurrences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(scoring.occurrences("text", F.lit("the"))).cast("long").alias("n"))
 
 
-LAYERS = "(1, 8, 'ner', 'Jane', 'NAME'), (1, 10, 'names', 'Jane', 'NAME'), (1, 10, 'names', 'Rose', 'NAME'), (2, 10, 'names', 'Rose', 'NAME'), (2, 12, 'encoder', 'London', 'LOCATION')"
-
-
-@query("SELECT * FROM (VALUES ('ner', 1, 1, 0), ('names', 2, 0, 2)) t(layer, n, tp, fp)")
+@query("""
+WITH c AS (SELECT c_custkey AS k FROM customer),
+f AS (SELECT 'ner' AS layer, true AS hit FROM c WHERE k % 2 = 0 UNION ALL SELECT 'names', true FROM c WHERE k % 3 = 0 AND k % 2 > 0 UNION ALL SELECT 'names', false FROM c WHERE k % 5 = 0)
+SELECT layer, count(*) AS n, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fp FROM f GROUP BY layer""")
 def layer_attribution(spark, sf_dir):
-    return scoring.layer_attribution(values(spark, LAYERS, "doc_id, stage, layer, original, category"), values(spark, GOLD_ROWS, "doc_id, ord, entity, category"))[0]
+    """Customers' names as two layers find them, the second with false ones."""
+    return scoring.layer_attribution(*_layers(spark, sf_dir))[0]
+
+
+@query("SELECT 'names' AS layer, 'Rose ' || c_custkey % 40 AS original, count(*) AS n FROM customer WHERE c_custkey % 5 = 0 GROUP BY ALL ORDER BY n DESC, original LIMIT 30")
+def layer_false_finds(spark, sf_dir):
+    """The commonest false finds of each layer, 30 at most."""
+    return scoring.layer_attribution(*_layers(spark, sf_dir))[1].select("layer", "original", "n")
+
+
+def _layers(spark, sf_dir):
+    rows, _ = _gold(spark, sf_dir)
+    k = F.col("doc_id")
+    one = lambda stage, layer, original, category: F.struct(F.lit(stage).alias("stage"), F.lit(layer).alias("layer"), original.alias("original"), F.lit(category).alias("category"))
+    found = [
+        F.when(k % 2 == 0, one(8, "ner", F.col("c_name"), "NAME")), F.when(k % 3 == 0, one(10, "names", F.col("c_name"), "NAME")),
+        F.when(k % 5 == 0, one(10, "names", F.concat(F.lit("Rose "), (k % 40).cast("string")), "NAME")), one(12, "encoder", F.col("n_name"), "LOCATION"),
+    ]
+    found = rows.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("doc_id", "f.*")
+    return found, rows.select("doc_id", F.lit(0).alias("ord"), F.col("c_name").alias("entity"), F.lit("NAME").alias("category"))

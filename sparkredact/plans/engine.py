@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..operators import columns, detect, lookup, models, replay, segments, similarity
+from ..lineage import cut
 from ..options import Options
 from ..sources import files
 
+#: Stages up to the columns: e-mail, organisations, titled names, columns.
+COLUMNS_DONE = 4
 #: What hides a term from later stages: a bracket, which no stage reads into.
 HIDDEN = "[X]"
 
@@ -24,16 +27,6 @@ class Result:
     flagged: DataFrame
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """rows without their lineage, from a checkpoint in the folder that spark.checkpoint.dir names; one of this machine only if it names none."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(f"file:///tmp/checkpoints/{context.applicationId}")
-    return rows.checkpoint()
-
-
 class Engine:
     """Pseudonymises segments. Stages see the text without what earlier stages found; tags are given once, at the end.
 
@@ -41,8 +34,9 @@ class Engine:
     document, so a document's segments and terms stay in one partition from the first barrier on.
     """
 
-    def __init__(self, spark: SparkSession, options: Options = Options(), ner: models.Provider | None = None, encoder: models.Provider | None = None, tagger: models.Provider | None = None):
-        self.spark, self.options, self.ner, self.encoder, self.tagger = spark, options, ner, encoder, tagger
+    def __init__(self, spark: SparkSession, options: Options = Options(), ner: models.Provider | None = None, encoder: models.Provider | None = None, tagger: models.Provider | None = None, vectors: DataFrame | None = None):
+        """vectors (word in lower case, vector) serve the aliases by likeness of meaning, which go with fuzzy matching."""
+        self.spark, self.options, self.ner, self.encoder, self.tagger, self.vectors = spark, options, ner, encoder, tagger, vectors
 
     def stages(self):
         o = self.options
@@ -63,11 +57,15 @@ class Engine:
 
     def detect(self, rows: DataFrame) -> DataFrame:
         """All stages' detections. They are small and checkpointed; every stage's view comes from the segments and what was found so far."""
-        view, found = rows, []
+        view, found, o = rows, [], self.options
+        width = (rows.agg(F.max(F.size("cells"))).first()[0] or 0) if o.column_mapping else 0
         for stage in self.stages():
             found.append(cut(stage(view)))
             terms = detect.union(found).select(F.col("doc_id").alias("scope"), F.col("original").alias("form"), F.lit(HIDDEN).alias("tag")).distinct()
             view = replay.redact_segments(rows, terms)
+            if width and len(found) >= COLUMNS_DONE:  # names are masked in the columns that aren't mapped too
+                known = lookup.assign_tags(detect.union(found[:COLUMNS_DONE]), o.lookup_mode)
+                view = columns.cross_reference(view, known, o.column_mapping, width, o.lookup_mode)
         return detect.union(found)
 
     def anonymize(self, rows: DataFrame) -> Result:
@@ -80,6 +78,8 @@ class Engine:
             found = found.unionByName(terms)
         if o.fuzzy_matching:
             found = found.unionByName(self._fuzzy(rows, lookup.assign_tags(found, o.lookup_mode)))
+            if self.vectors is not None:
+                found = found.unionByName(self._alike(rows, lookup.assign_tags(found, o.lookup_mode)))
         table = lookup.assign_tags(found, o.lookup_mode)
         table, _ = lookup.filter_categories(table, o.enabled_categories)
         table, _ = lookup.validate(table)
@@ -92,10 +92,17 @@ class Engine:
     def _fuzzy(self, rows: DataFrame, table: DataFrame) -> DataFrame:
         tokens = detect.title_case_tokens(rows)
         common = self.spark.createDataFrame([(w,) for w in V.COMMON_WORDS], "part string")
-        close = similarity.fuzzy_aliases(tokens.select("word"), table, common)
+        return self._aliases(tokens, similarity.fuzzy_aliases(tokens.select("word"), table, common), table, "fuzzy")
+
+    def _alike(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        tokens = detect.title_case_tokens(rows)
+        common = self.spark.createDataFrame([(w,) for w in V.COMMON_WORDS], "part string")
+        return self._aliases(tokens, similarity.vector_aliases(tokens.select("word"), table, common, self.vectors), table, "embedding")
+
+    def _aliases(self, tokens: DataFrame, close: DataFrame, table: DataFrame, layer: str) -> DataFrame:
         owner = table.select(F.explode(F.split(F.lower("original_term"), r"(?U)\s+")).alias("target"), F.col("original_term").alias("owner")).groupBy("target").agg(F.min("owner").alias("owner"))
         hits = tokens.join(close.join(owner, "target"), "word")
-        return detect.detections(hits, "fuzzy", [F.col("pos")], F.col("word"), F.col("category"), F.col("owner"))
+        return detect.detections(hits, layer, [F.col("pos")], F.col("word"), F.col("category"), F.col("owner"))
 
     def anonymize_files(self, path: str, out: str) -> Result:
         """Read, redact and write all files under a path, with the lookup beside them."""

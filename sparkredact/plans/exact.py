@@ -41,6 +41,8 @@ def _term_pattern(term: str) -> re.Pattern:
 
 
 def put_tag(text: str, term: str, tag: str) -> str:
+    if term not in text:  # most lines; looking is far cheaper than matching
+        return text
     return _term_pattern(term).sub(lambda m: tag if m[1] else m[0], text)
 
 
@@ -88,8 +90,16 @@ def _phone(term: str) -> bool:
 CHECKS = {None: lambda t: True, "plausible_date": _date, "plausible_phone": _phone, "luhn_if_digits": lambda t: not re.fullmatch(r"[\d\s-]{13,}", t) or _luhn(t)}
 
 
+@lru_cache(maxsize=64)
+def _list_pattern(words: tuple[str, ...]) -> re.Pattern:
+    """Any of the words, the longest first, whole and in any case."""
+    return re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")\b", re.IGNORECASE)
+
+
 def _found(lines: list[str], line: int, pattern: re.Pattern, group: int = 0) -> Iterator[str]:
     """Terms of a line as it stands when the pattern comes to it."""
+    if pattern is python_pattern(V.ORG) and not python_pattern(V.ORG_END).search(lines[line]):
+        return
     for match in pattern.finditer(lines[line]):
         if (term := match[group]) and not (term.startswith("[") and term.endswith("]")):
             yield term
@@ -136,8 +146,7 @@ def read_document(text: str, secrets: bool = True, lists: Iterable[dict] = ()) -
         by_category.setdefault(one["category"], []).extend(w.strip() for w in one["words"] if w.strip())
     for n in range(len(lines) if by_category else 0):
         for category, words in by_category.items():
-            pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")\b", re.IGNORECASE)
-            for term in _found(lines, n, pattern):
+            for term in _found(lines, n, _list_pattern(tuple(words))):
                 _take(lines, book, term, category, n)
     return book
 

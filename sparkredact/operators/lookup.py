@@ -68,6 +68,17 @@ def find(lookup: DataFrame, terms: DataFrame, term_col: str) -> DataFrame:
     return keyed.join(lookup.select("norm_key", "anonymised_term"), "norm_key", "left").drop("norm_key")
 
 
+def remove(lookup: DataFrame, terms: DataFrame, term_col: str) -> DataFrame:
+    """The lookup without the keys of terms. Numbers that were given stay given: see counters."""
+    return lookup.join(terms.select(T.normalize_key(term_col).alias("norm_key")).distinct(), "norm_key", "left_anti").select(lookup.columns)
+
+
+def counters(lookup: DataFrame) -> DataFrame:
+    """category and n, the highest number given in it: where assign_tags carries on. Taken before anything is removed; none after a reset."""
+    number = F.regexp_extract("anonymised_term", r" (\d+)r?\]$", 1).cast("long")
+    return lookup.groupBy(F.col("pii_category").alias("category")).agg(F.max(number).alias("n"))
+
+
 def filter_categories(lookup: DataFrame, enabled: list[str] | tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Entries of enabled categories, and the rest; an empty list enables all. Never applied before tags are given."""
     on = F.col("pii_category").isin(*enabled) if enabled else F.lit(True)

@@ -157,12 +157,13 @@ def files_preview(spark, sf_dir):
     return shown.select("col_index", "header", "category", F.array_join("samples", "|").alias("samples"))
 
 
-@query("SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT n_name FROM nation) WHERE length(trim(word)) >= 3")
+@query("SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT unnest(['New', 'Zealand']) ) WHERE length(trim(word)) >= 3")
 def dictionary_built(spark, sf_dir):
     """Words of parts read from a file of words, and nations, as one dictionary."""
     folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex[:12]}"
     table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).select(F.concat(F.upper("word"), F.lit("\n")).alias("value")).write.text(folder)
-    return files.build_dictionary(files.read_dictionary(spark, folder), [table(spark, sf_dir, "nation").select(F.col("n_name").alias("word"))])
+    countries = files.words_of(table(spark, sf_dir, "nation").select("n_name").union(values(spark, "('New Zealand')", "n_name")), "n_name")
+    return files.build_dictionary(files.read_dictionary(spark, folder), [countries])
 
 
 HEADERS = "(1, 'Email'), (2, 'Manager Email'), (3, ' First Name '), (4, 'Birth Date'), (5, 'Company Phone'), (6, 'xyz'), (7, 'ID'), (8, 'Row number'), (9, 'Postal Code'), (10, 'State of play'), (11, 'Job Title')"
@@ -517,6 +518,22 @@ def lookup_persist(spark, sf_dir):
     return _shown(lookup.assign_tags(_found(spark, sf_dir).withColumn("doc_no", F.col("doc_id").cast("long")), "persist", "doc_no"))
 
 
+@query(f"""
+WITH l AS ({_lookup_sql(True)}), g AS (SELECT pii_category, count(*) AS given FROM l GROUP BY 1), n AS (SELECT 'EMAIL' AS pii_category, 'new@fresh.example' AS term UNION ALL SELECT 'ID', '4111111111111111')
+SELECT g.pii_category, (SELECT count(*) FROM l WHERE l.pii_category = g.pii_category AND NOT regexp_matches(original_term, '[02468]')) AS n_left,
+  '[' || g.pii_category || ' ' || (given + 1) || ']' AS next_tag FROM g JOIN n USING (pii_category)""")
+def lookup_carried_on(spark, sf_dir):
+    """Entries removed from a lookup, and the tags that new terms get after it: numbers aren't given twice."""
+    found = _found(spark, sf_dir).withColumn("doc_no", F.col("doc_id").cast("long"))
+    whole = lookup.assign_tags(found, "persist", "doc_no")
+    less = lookup.remove(whole, whole.filter(F.col("original_term").rlike("[02468]")), "original_term")
+    fresh = values(spark, "('EMAIL', 'new@fresh.example'), ('ID', '4111111111111111')", "category, original")
+    fresh = fresh.select(F.lit("new").alias("doc_id"), F.lit(1).alias("stage"), F.lit(1).alias("line_number"), F.array(F.lit(0)).alias("ord"), "original", "category", F.lit(None).cast("string").alias("alias_of"), F.lit("new").alias("layer"))
+    tags = lookup.assign_tags(fresh, "persist", counters=lookup.counters(whole), known=less)
+    left = lookup.category_counts(less).withColumnRenamed("n", "n_left")
+    return tags.select("pii_category", F.col("anonymised_term").alias("next_tag")).join(left, "pii_category", "left").fillna({"n_left": 0}).select("pii_category", "n_left", "next_tag")
+
+
 @query(f"""WITH {FOUND}, first AS (SELECT *, row_number() OVER (PARTITION BY norm_key ORDER BY doc_id, stage, line_number, k, pos) AS r FROM f), one AS (SELECT * FROM first WHERE r = 1),
 t AS (SELECT norm_key, '[' || category || ' ' || row_number() OVER (PARTITION BY category ORDER BY doc_id, stage, line_number, k, pos) || ']' AS tag FROM one),
 w AS (SELECT DISTINCT upper(term) AS term, norm_key FROM f UNION ALL SELECT n_name, '?' FROM nation)

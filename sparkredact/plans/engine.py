@@ -11,10 +11,9 @@ from ..functions import vocabulary as V
 from ..operators import columns, detect, lookup, models, replay, segments, similarity
 from ..lineage import cut
 from ..options import Options
+from ..schema import DETECTIONS
 from ..sources import files
 
-#: Stages up to the columns: e-mail, organisations, titled names, columns.
-COLUMNS_DONE = 4
 #: What hides a term from later stages: a bracket, which no stage reads into.
 HIDDEN = "[X]"
 
@@ -39,41 +38,48 @@ class Engine:
         self.spark, self.options, self.ner, self.encoder, self.tagger, self.vectors = spark, options, ner, encoder, tagger, vectors
 
     def stages(self):
+        """Name and function of each stage in order; options.layers, if any, names those that run."""
         o = self.options
-        yield detect.emails
-        yield detect.organisations
-        yield detect.titled_names
-        if o.column_mapping:
-            yield lambda s: columns.mapped_columns(s, o.column_mapping)
-        yield detect.structured
-        yield lambda s: detect.secrets(s, o.min_entropy, o.min_length)
-        if self.ner:
-            yield lambda s: models.ner(s, self.ner)
-        if self.tagger:
-            yield lambda s: models.proper_nouns(s, self.tagger)
-        yield detect.dictionary_names
-        if o.custom_lists:
-            yield lambda s: detect.custom_words(s, list(o.custom_lists))
+        known = [
+            ("email", detect.emails, True),
+            ("org", detect.organisations, True),
+            ("titled", detect.titled_names, True),
+            ("column", lambda s: columns.mapped_columns(s, o.column_mapping), o.column_mapping),
+            ("structured", detect.structured, True),
+            ("entropy", lambda s: detect.secrets(s, o.min_entropy, o.min_length), True),
+            ("ner", lambda s: models.ner(s, self.ner), self.ner),
+            ("syntactic", lambda s: models.proper_nouns(s, self.tagger), self.tagger),
+            ("names", detect.dictionary_names, True),
+            ("custom", lambda s: detect.custom_words(s, list(o.custom_lists)), o.custom_lists),
+        ]
+        return [(name, stage) for name, stage, on in known if on and self._runs(name)]
+
+    def _runs(self, name: str) -> bool:
+        return not self.options.layers or name in self.options.layers
 
     def detect(self, rows: DataFrame) -> DataFrame:
         """All stages' detections. They are small and checkpointed; every stage's view comes from the segments and what was found so far."""
-        view, found, o = rows, [], self.options
+        view, found, names, o = rows, [self._nothing()], None, self.options
         width = (rows.agg(F.max(F.size("cells"))).first()[0] or 0) if o.column_mapping else 0
-        for stage in self.stages():
+        for name, stage in self.stages():
             found.append(cut(stage(view)))
             terms = detect.union(found).select(F.col("doc_id").alias("scope"), F.col("original").alias("form"), F.lit(HIDDEN).alias("tag")).distinct()
             view = replay.redact_segments(rows, terms)
-            if width and len(found) >= COLUMNS_DONE:  # names are masked in the columns that aren't mapped too
-                known = lookup.assign_tags(detect.union(found[:COLUMNS_DONE]), o.lookup_mode)
-                view = columns.cross_reference(view, known, o.column_mapping, width, o.lookup_mode)
+            if width and name == "column":
+                names = lookup.assign_tags(detect.union(found), o.lookup_mode)
+            if names is not None:  # names known by then are masked in the columns that aren't mapped too
+                view = columns.cross_reference(view, names, o.column_mapping, width, o.lookup_mode)
         return detect.union(found)
 
+    def _nothing(self) -> DataFrame:
+        return self.spark.createDataFrame([], DETECTIONS)
+
     def anonymize(self, rows: DataFrame) -> Result:
         """Redacted segments, lookup, all detections and the lines on which the encoder failed."""
         o = self.options
         found = self.detect(rows)
         flagged = rows.select("doc_id", "line_number").limit(0)
-        if self.encoder:
+        if self.encoder and self._runs("encoder"):
             terms, flagged = models.encoder(segments.split_long_lines(rows, o.max_line_chars), self.encoder, list(o.enabled_categories) or None)
             found = found.unionByName(terms)
         if o.fuzzy_matching:

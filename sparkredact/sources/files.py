@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from ..functions import text as T
 from ..schema import SEGMENTS
 
 FORMATS = ("txt", "csv", "xlsx", "docx")
+#: What Spark says of a path that isn't there.
+MISSING = "PATH_NOT_FOUND"
 Rows = list[tuple[str | None, int, list[str]]]
 
 # ---- parsing one file's bytes into (sheet, row, cells) ----------------------------------------------------------
@@ -87,10 +90,15 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", name.alias("source_file"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("source_format"), "content")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of all files under a path, by their suffix; another suffix is an error. Text is cut inside the JVM."""
+def read_files(spark: SparkSession, path: str, others: str = "error") -> DataFrame:
+    """Segments of all files under a path, by their suffix. Files of another suffix are an error, or with others="skip" left out.
+
+    Text is cut inside the JVM.
+    """
     files = _files(spark, path)
-    if odd := files.filter(~F.col("source_format").isin(*FORMATS)).select("source_file").first():
+    if others == "skip":
+        files = files.filter(F.col("source_format").isin(*FORMATS))
+    elif odd := files.filter(~F.col("source_format").isin(*FORMATS)).select("source_file").first():
         raise ValueError(f"Unsupported file format: {odd[0]}")
     lines = files.filter("source_format = 'txt'").select("path", "source_file", "source_format", F.posexplode(T.lines(F.decode("content", "UTF-8"))).alias("pos", "line"))
     cell = F.struct(F.col("line").alias("text"), F.lit(None).cast("string").alias("sheet_name"), F.lit(0).alias("row_index"), F.lit(0).alias("col_index"))
@@ -120,7 +128,9 @@ def read_custom_lists(spark: SparkSession, path: str) -> list[dict]:
     """Lists of a JSON file; a missing or damaged one has none. They are typed in by hand, so they fit the driver."""
     try:
         raw = spark.read.text(path, wholetext=True).first()
-    except Exception:  # noqa: BLE001
+    except AnalysisException as error:
+        if error.getCondition() != MISSING:
+            raise
         return []
     schema = "struct<lists:array<struct<name:string,category:string,words:array<string>>>>"
     row = spark.createDataFrame([(raw[0] if raw else "",)], "t string").select(F.from_json("t", schema, {"mode": "PERMISSIVE"}).alias("j")).first()
@@ -131,11 +141,18 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Words (lower case) of a file with one on each line; a missing file is an empty dictionary."""
     try:
         lines = spark.read.text(path)
-    except Exception:  # noqa: BLE001
+    except AnalysisException as error:
+        if error.getCondition() != MISSING:
+            raise
         return spark.createDataFrame([], "word string")
     return lines.select(F.lower("value").alias("word")).filter(F.trim("word") != "").distinct()
 
 
+def words_of(names: DataFrame, column: str) -> DataFrame:
+    """The words (word) of names of several words, such as countries."""
+    return names.select(F.explode(F.split(column, r"(?U)[^\w'-]+")).alias("word"))
+
+
 def build_dictionary(words: DataFrame, others: list[DataFrame], min_length: int = 3) -> DataFrame:
     """Distinct words of all tables (word), lower case, of at least min_length letters."""
     for other in others:

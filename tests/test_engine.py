@@ -169,6 +169,21 @@ def test_aliases_by_likeness(spark):
     assert redacted(result) == "Mr [NAME 1] met [NAME 1]"
 
 
+def test_layers_can_be_left_out(spark):
+    docs = texts(spark, "Mr Kofi Annan, kofi@x.org, 10.0.0.1")
+    assert redacted(Engine(spark, Options(layers=("email",))).anonymize_texts(docs)) == "Mr Kofi Annan, [EMAIL 1], 10.0.0.1"
+    alone = Engine(spark, Options(layers=("encoder",)), ner=models.title_case_provider, encoder=models.title_case_provider).anonymize_texts(docs)
+    assert {r.layer for r in alone.detections.collect()} <= {"encoder"}
+
+
+def test_other_suffixes(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.odd").write_text("two")
+    with pytest.raises(ValueError):
+        files.read_files(spark, f"{tmp_path}/*")
+    assert [r.source_file for r in files.read_files(spark, f"{tmp_path}/*", others="skip").collect()] == ["a.txt"]
+
+
 def test_aliases_by_vectors(spark):
     """A word that is neither spelt nor said like a name, but used like it."""
     vectors = spark.createDataFrame([("johnson", [1.0, 0.1]), ("walker", [1.0, 0.12]), ("river", [0.0, 1.0])], "word string, vector array<double>")

@@ -2,8 +2,8 @@
 
 A byte goes when some string of ``min_length`` bytes that covers it also starts in a document with a smaller
 id. Inside a block of text the common prefixes are found on a Burrows-Wheeler transform: the rows of the
-sorted suffixes start as one interval for each byte; breadth first, all intervals of strings of length v are extended
-backwards at once, which splits rows whose common prefix is v bytes and so yields the prefix lengths by increasing
+sorted suffixes start as one interval for each string of WORD bytes; breadth first, all intervals of strings of length v
+are extended backwards at once, which splits rows whose common prefix is v bytes and so yields the prefix lengths by increasing
 value. At ``min_length`` the expansion stops: rows still together share that many bytes.
 
 Getting equal strings into one block takes three steps, none of which loses a match:
@@ -32,8 +32,12 @@ from .common import Workspace, binary_slices, with_keys
 MIN_LENGTH = 50
 #: Bytes of the strings whose hashes are compared, runs a piece on average, and windows of a run at most.
 SEED, CHUNK, LONGEST_RUN = 24, 16, 256
-#: Bytes of a block that is expanded at once, unless one minimiser's runs exceed it.
-BLOCK = 4 << 20
+#: Bytes of a block that is expanded at once, unless one minimiser's runs exceed it; so few that its rows stay in the cache.
+BLOCK = 1 << 18
+#: Bytes of the strings that intervals start with: as many as are compared at once.
+WORD = 8
+#: Pairs of minimiser and piece in a bucket, about.
+BUCKET = 1 << 23
 #: Distinct pieces with one minimiser from which its windows are dealt by their own hash.
 CROWDED = 20_000
 NOWHERE = np.iinfo(np.int64).max
@@ -81,17 +85,17 @@ def expand(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     backward step by data[order[p]] takes row next[p]. The interval of c+w is the run of rows that begin with c and come
     from the interval of w. Values are found in increasing order; a row whose value is known isn't looked at again.
     """
-    n = len(data)
+    n, known = len(data), WORD if length >= WORD else 1
     row = np.empty(n + 1, np.int32)
     row[order] = np.arange(n, dtype=np.int32)
     row[n] = row[n - 1]
-    first = data[order]
+    first = (np.ndarray((n,), "<u8", np.concatenate([data, np.zeros(WORD, np.uint8)]), strides=(1,)) if known == WORD else data)[order]
     starts = np.ones(n, bool)
     starts[1:] = first[1:] != first[:-1]
     following = row[np.minimum(order + 1, n)]
     open_rows = np.flatnonzero(~starts).astype(np.int32)
     left, right = following[open_rows - 1], following[open_rows]
-    for _ in range(length - 1):
+    for _ in range(length - known):
         interval = np.cumsum(starts, dtype=np.int32)
         apart = interval[left] != interval[right]
         if not apart.any():
@@ -102,8 +106,8 @@ def expand(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     return starts
 
 
-def first_places(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text and each window of it, the smallest document among all texts with that window."""
+def first_places(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest document among all texts with a window, in one array; and where each text's windows begin in it, and their number."""
     sizes = np.array([len(t) for t in texts])
     data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
@@ -115,7 +119,7 @@ def first_places(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.n
     least = np.minimum.reduceat(values, starts)
     first = np.empty(len(data), np.int64)
     first[order] = np.repeat(least, np.diff(np.append(starts, len(data))))
-    return [first[b : b + w] for b, w in zip(begins, windows)]
+    return first, begins, windows
 
 
 # ---- minimisers and pieces ------------------------------------------------------------------------------------
@@ -299,37 +303,63 @@ def _contexts(length: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]],
 
 
 def _spans(length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Expand blocks of a partition sorted by key: doc, tk, begin and end of bytes whose window has an earlier document."""
+    """Expand blocks of a partition sorted by key and doc: doc, tk, begin and end of bytes whose window has an earlier document.
 
-    def block(docs: list[int], tks: list[int], places: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        least: dict[bytes, int] = {}
-        for text, doc in zip(texts, docs):
-            least[text] = min(least.get(text, NOWHERE), doc)
-        first = dict(zip(least, first_places(list(least), np.fromiter(least.values(), np.int64, len(least)), length)))
-        out: list[tuple] = []
-        for doc, tk, place, text in zip(docs, tks, places, texts):
-            gone = first[text] < doc
-            if gone.all():
-                out.append((doc, tk, place, place + len(text)))
-            elif gone.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                out.extend((doc, tk, place + int(a), place + int(b) + length - 1) for a, b in zip(edge[::2], edge[1::2]))
-        columns = list(zip(*out)) if out else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "tk", "begin", "end"])
+    Rows of a key come by document, so a text that an earlier document of the key has goes whole at once. Just the first
+    document's rows of each distinct text wait for the block, and those of a key with one text or document need no expansion: nothing
+    is held for the copies, however many share a key.
+    """
+
+    def block(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        doc, tk, place = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        index = {text: i for i, text in enumerate(dict.fromkeys(r[3] for r in rows))}
+        which, least = np.array([index[r[3]] for r in rows]), np.full(len(index), NOWHERE)
+        np.minimum.at(least, which, doc)
+        first, begins, windows = first_places(list(index), least, length)
+        row = np.repeat(np.arange(len(rows)), windows[which])
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(windows[which]) - windows[which], windows[which])
+        gone = first[begins[which][row] + inside] < doc[row]
+        both = gone[1:] & gone[:-1] & (row[1:] == row[:-1])
+        opens, closes = np.flatnonzero(gone & ~np.append(False, both)), np.flatnonzero(gone & ~np.append(both, False))
+        at = row[opens]
+        return spans([doc[at], tk[at], place[at] + inside[opens], place[at] + inside[closes] + length])
 
     def expanded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[tuple[int, int, int, bytes]] = []
+        own: list[tuple[int, int, int, bytes]] = []  # of the present key
+        seen: dict[bytes, int] = {}
         size, previous = 0, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if len(set(seen.values())) > 1:
+                held.extend(own)
+                size += sum(map(len, seen))
+            own.clear()
+            seen.clear()
+            if size >= BLOCK:
+                yield block(held)
+                held.clear()
+                size = 0
+
         for batch in batches:
-            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if size >= BLOCK and key != previous:
-                    yield block(*held)
-                    held, size = [[], [], [], []], 0
-                for column, value in zip(held, row):
-                    column.append(value)
-                size, previous = size + len(row[3]), key
-        if size:
-            yield block(*held)
+            out: list[tuple[int, int, int, int]] = []
+            for key, doc, tk, place, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if key != previous:
+                    yield from close()
+                    previous = key
+                if seen.setdefault(text, doc) < doc:
+                    out.append((doc, tk, place, place + len(text)))
+                else:
+                    own.append((doc, tk, place, text))
+            if out:
+                yield spans(list(zip(*out)))
+        yield from close()
+        if held:
+            yield block(held)
+
+    def spans(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "tk", "begin", "end"])
 
     return expanded
 
@@ -383,7 +413,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = space.keep(found.join(firsts, ["ha", "hb"]), "placed")
     copies = placed.filter("doc > first").select("doc", "tk", F.col("start").cast("long").alias("begin"), (F.col("start") + F.col("windows") + min_length - 1).cast("long").alias("end"))
 
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), placed.count() * CHUNK // BUCKET)
     packed = long_enough.select("text").mapInArrow(_minimisers(min_length, buckets), "bucket int, four binary, one binary, piece binary")
     shared = packed.groupBy("bucket").applyInArrow(_shared, "ha long, least long, crowded boolean")
     keys = space.keep(shared.groupBy("ha").agg(F.collect_list(F.struct("least", "crowded")).alias("keys")), "keys")
@@ -391,7 +421,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = space.keep(asked, "asked")
     contexts = with_keys(long_enough.select("doc", "tk", "text"), asked, ["doc", "tk"]).join(asked, ["doc", "tk"]).select("doc", "tk", "text", "asked")
     contexts = contexts.mapInArrow(_contexts(min_length, buckets), "key long, doc long, tk long, place int, text binary")
-    blocks = contexts.repartition("key").sortWithinPartitions("key")
+    blocks = contexts.repartition("key").sortWithinPartitions("key", "doc")
     spans = blocks.mapInArrow(_spans(min_length), "doc long, tk long, begin long, end long").unionByName(copies)
     spans = space.keep(spans.groupBy("doc", "tk").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
     # Documents of which nothing goes aren't shuffled.

@@ -28,19 +28,18 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 WINDOW = 1024
-#: Parts of text whose ids one Python worker remembers, about 60 MB, and the letters of the longest of them.
-REMEMBERED, LONGEST = 1 << 18, 12
+#: White-space characters in a row from which a text goes to the tokenizer's own file.
+VAST = 10_000
 
 
 class Encoder:
     """Token ids as little-endian uint32 bytes, equal to the tokenizer's own for every text.
 
-    In a byte-level BPE with the usual pre-tokenizer, a lone space between two non-space characters always starts a
-    new pre-token, so the parts between such spaces can be encoded apart and remembered. Texts in which
-    a space touches other white space go through the whole encoder.
+    The pattern of the fast encoder can't match very long runs of white space; the few texts with such a run are encoded by
+    the tokenizer's own file.
     """
 
-    def __init__(self, ranks_path: str | None = None, pattern: str | None = None, special: dict[str, int] | None = None):
+    def __init__(self, ranks_path: str | None = None, pattern: str | None = None, special: dict[str, int] | None = None, own_path: str | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -49,32 +48,18 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         special = {"<|endoftext|>": 50256} if special is None else special
         self.bpe = tiktoken.Encoding("packing", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.odd = re.compile(r"\s | \s")
-        self.inner = _Remembered(lambda part: self.whole(" " + part))
-
-    def whole(self, text: str) -> bytes:
-        if "<|" not in text:  # looking for special tokens costs more than most parts' encoding
-            return array("I", self.bpe.encode_ordinary(text)).tobytes()
-        return array("I", self.bpe.encode(text, allowed_special="all")).tobytes()
+        self.vast = re.compile(rf"\s{{{VAST}}}")
+        self.own_path, self.own = own_path or public_tokenizers.path("byte_bpe_50k.json"), None
 
     def __call__(self, text: str) -> bytes:
-        if self.odd.search(text):
-            return self.whole(text)
-        first, *others = text.split(" ")
-        head = self.whole(first) if first else b""
-        return head + b"".join(map(self.inner.__getitem__, others))
-
+        if len(text) >= VAST and self.vast.search(text):
+            from tokenizers import Tokenizer
 
-class _Remembered(dict):
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, part: str) -> bytes:
-        made = self.make(part)
-        if len(self) < REMEMBERED and len(part) <= LONGEST:
-            self[part] = made
-        return made
+            self.own = self.own or Tokenizer.from_file(self.own_path)
+            return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
+        if "<|" not in text:
+            return array("I", self.bpe.encode_ordinary(text)).tobytes()
+        return array("I", self.bpe.encode(text, allowed_special="all")).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -169,14 +154,13 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> np.ndarray:
             count = min([round(float(counts[j])), *(int(left[length]) // times for length, times in ways[j])])
             if count > 0:
                 put(ways[j], count)
-    while left.any():  # each turn uses up a length
-        pattern, room = {}, window
-        while room > 0 and (fits := np.flatnonzero(left[: room + 1])).size:
+    while left.any():  # two turns at most use up a length
+        pattern, room, longest = {}, window, window
+        while longest > 0 and (fits := np.flatnonzero(left[: longest + 1])).size:
             length = int(fits[-1])
             pattern[length] = min(int(left[length]), room // length)
             room -= pattern[length] * length
-            if pattern[length] == left[length] and room >= length:
-                break
+            longest = min(room, length - 1)
         put(sorted(pattern.items(), reverse=True), min(int(left[length]) // times for length, times in pattern.items()))
     return np.array(rows, np.int64).reshape(-1, 6)
 

@@ -25,6 +25,19 @@ def test_ids_equal_the_tokenizer(tokenizer):
         assert list(np.frombuffer(encode(text), "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_500_000, "\n" * 1_200_000 + "x", "a b" + " \n\t" * 400_000 + "b", "w" * 1_500_000, "\xa0" * 1_100_000, "a " * 500_000])
+def test_vast_runs(tokenizer, text):
+    assert list(np.frombuffer(Encoder()(text), "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_null_ids_and_repeated_rows(spark):
+    table = [(None, "a b"), (None, "a b"), (None, None), (4, "c"), (4, "c"), (4, "")]
+    got = pack(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in got) == Counter({(None, 3): 2, (None, 1): 1, (4, 2): 2, (4, 1): 1})
+    assert len({r.row_id for r in got}) == 6 and {(r.sequence_id, r.start) for r in got} == {(0, 0)}
+    assert sorted(r.offset for r in got) == list(np.cumsum([0, *(r.length for r in sorted(got, key=lambda r: r.offset))]))[:-1]
+
+
 def test_every_id_is_packed_once(spark, tokenizer):
     got = pack(documents(spark)).collect()
     by_row, by_sequence = defaultdict(list), defaultdict(list)

@@ -28,6 +28,46 @@ def test_versions_are_atomic(spark):
     assert store.version() == 2
 
 
+def test_of_two_writers_of_a_version_one_fails(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Store(spark, Workspace(spark, "test").path("store"))
+    store.append(documents(spark), 1)
+    for _ in range(5):
+        base, shards = store.version(), store.shards()
+
+        def write(shards=shards, base=base):
+            try:
+                return store.commit(base, shards)
+            except RuntimeError:
+                return None
+
+        with ThreadPoolExecutor(4) as pool:
+            won = [f.result() for f in [pool.submit(write) for _ in range(4)]]
+        assert won.count(base + 1) == 1 and won.count(None) == 3 and store.version() == base + 1
+
+
+def test_runs_are_merged_side_by_side_and_the_version_before_stays(spark, monkeypatch):
+    store = Store(spark, Workspace(spark, "test").path("store"), target=2000, fanout=2, lowest=200)
+    store.append(documents(spark).repartition(12), 2)
+    runs, parts = store.runs(store.shards()), []
+    write = Store._write
+    monkeypatch.setattr(Store, "_write", lambda self, rows, *rest: parts.append(rows.rdd.getNumPartitions()) or write(self, rows, *rest))
+    planned = store.read()
+    assert len(runs) > 1 and store.compact() == 2 and parts == [len(runs)]
+    assert planned.count() == store.read().count() == store.read(1).count() == len(rows())
+
+
+def test_shards_hold_what_the_manifest_says(spark):
+    store = compacted(documents(spark), splits=6, target=40_000, fanout=4, lowest=200)
+    got = {}
+    for r in store.read().collect():
+        n, size, level = got.get(r[SHARD], (0, 0, r[LEVEL]))
+        assert level == r[LEVEL]
+        got[r[SHARD]] = n + 1, size + len((r.text or "").encode()), level
+    assert got == {s.name: (s.n_rows, s.n_bytes, s.level) for s in store.shards()}
+
+
 def test_tiers(spark):
     store = Store(spark, Workspace(spark, "test").path("store"), target=1000, fanout=4, lowest=10)
     from sparkredact.llm.sharding import Shard

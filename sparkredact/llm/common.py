@@ -69,6 +69,25 @@ def with_keys(rows: DataFrame, keys: DataFrame, names: list[str], how: str = "le
     return rows.join(F.broadcast(keys.select(bucket.alias("bucket_")).distinct()), bucket == F.col("bucket_"), how)
 
 
+#: Keys that join_hot broadcasts at most, and rows of a key up to which it never does.
+HOT_KEYS, FEW = 1 << 16, 4096
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, copies: str) -> DataFrame:
+    """The inner join of rows with values (one row for each key), where ``copies`` says how many of rows have the key.
+
+    Keys that hold more than 1 in HOT_KEYS of the rows are fewer than HOT_KEYS, so their values are broadcast and their rows
+    stay where they are; other keys meet in a shuffle. values should be a table, since it is read several times.
+    """
+    total = values.agg(F.sum(copies)).first()[0] or 0
+    hot = F.col(copies) > max(FEW, total // HOT_KEYS)
+    often, rest = values.filter(hot).drop(copies), values.filter(~hot).drop(copies)
+    if often.isEmpty():
+        return rows.join(rest, key)
+    cold = rows.join(F.broadcast(often.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(often), key).unionByName(cold.join(rest, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

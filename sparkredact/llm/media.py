@@ -6,8 +6,9 @@ its SHA-256. Rows carry digest, shard, offset and length; where several shards h
 of them. A retried or speculative task writes a shard of its own name, and only the names that a finished task
 returned are ever read.
 
-Reading opens a shard once a task. Metadata columns take just the image header, a range read of its first bytes; features
-take the whole range, decode it and compute on the samples.
+Reading opens a shard once a task. Metadata columns (width, height, bit depth) come from a range read of the image header
+alone, in ``header_columns`` as in ``media_columns``; features take another read, of the whole range, decode it and compute
+on the samples. Each digest is read once, and rows find its columns by a join in which digests of very many rows are broadcast.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, join_hot
 
 #: Samples of an image row, and so the unit that payloads are padded to.
 WIDTH = 64
@@ -156,8 +157,8 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     root = space.path("shards")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     stored = space.keep(own.mapInArrow(_store(root), STORED_SCHEMA), "stored")
-    places = space.keep(stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")), "places")
-    rows = stored.select("doc_id", "n_bytes", "digest").join(places, "digest")
+    places = space.keep(stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"), F.count("*").alias("copies")), "places")
+    rows = join_hot(stored.select("doc_id", "n_bytes", "digest"), places, "digest", "copies")
     return rows.select("doc_id", "n_bytes", "digest", "place.shard", "place.offset", "place.length"), root
 
 
@@ -167,22 +168,22 @@ def _ranges(root: str, whole: bool) -> Callable[[Iterable[pa.RecordBatch]], Iter
         name, shard = None, None
         for batch in batches:
             rows = []
-            for digest, wanted, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+            for digest, wanted, offset, length, copies in zip(*(c.to_pylist() for c in batch.columns)):
                 if wanted != name:
                     if shard is not None:
                         shard.close()
                     name, shard = wanted, system.open_input_file(f"{path}/{wanted}")
+                size = read_header(shard.read_at(HEADER_BYTES, offset))
+                head = (digest, copies, size["width"], size["height"], size["bit_depth"])
                 if not whole:
-                    size = read_header(shard.read_at(HEADER_BYTES, offset))
-                    rows.append((digest, size["width"], size["height"], size["bit_depth"]))
+                    rows.append(head)
                     continue
                 media = shard.read_at(length, offset)
-                size = read_header(media[:HEADER_BYTES])
                 samples = decode_image(media)
                 rows.append(
-                    (digest, size["width"], size["height"], size["bit_depth"], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
+                    (*head, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
                 )
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = FEATURES if whole else HEADERS
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
@@ -192,24 +193,25 @@ def _ranges(root: str, whole: bool) -> Callable[[Iterable[pa.RecordBatch]], Iter
     return read
 
 
-HEADERS = ["digest", "width", "height", "bit_depth"]
+HEADERS = ["digest", "copies", "width", "height", "bit_depth"]
 FEATURES = [*HEADERS, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-HEADERS_SCHEMA = "digest string, width long, height long, bit_depth long"
+HEADERS_SCHEMA = "digest string, copies long, width long, height long, bit_depth long"
 FEATURES_SCHEMA = f"{HEADERS_SCHEMA}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _places(rows: DataFrame) -> DataFrame:
-    """Each stored payload once, dealt by shard and part of it, in the order of the shard."""
-    places = rows.select("digest", "shard", "offset", "length").distinct()
+def _read(rows: DataFrame, root: str, whole: bool, schema: str) -> DataFrame:
+    """rows with what is read for each stored payload once, in the order of its shard and dealt by shard and part of it."""
+    places = rows.groupBy("digest", "shard", "offset", "length").agg(F.count("*").alias("copies"))
     part = F.floor(F.col("offset") / F.lit(8 << 20))
-    return places.repartition(F.col("shard"), part).sortWithinPartitions("shard", "offset")
+    found = places.repartition(F.col("shard"), part).sortWithinPartitions("shard", "offset").mapInArrow(_ranges(root, whole), schema)
+    return join_hot(rows, Workspace(rows.sparkSession, "media-read").keep(found, "found"), "digest", "copies")
 
 
 def header_columns(rows: DataFrame, root: str) -> DataFrame:
     """rows with width, height and bit_depth, for which only HEADER_BYTES of each payload are read."""
-    return rows.join(_places(rows).mapInArrow(_ranges(root, False), HEADERS_SCHEMA), "digest")
+    return _read(rows, root, False, HEADERS_SCHEMA)
 
 
 def media_columns(rows: DataFrame, root: str) -> DataFrame:
     """rows with the header's columns and those computed from the payload as it is read back."""
-    return rows.join(_places(rows).mapInArrow(_ranges(root, True), FEATURES_SCHEMA), "digest")
+    return _read(rows, root, True, FEATURES_SCHEMA)

@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 
+from sparkredact.llm import common
 from sparkredact.llm import media as M
 
 from .fixtures import documents, empty, rows
@@ -21,10 +22,25 @@ def test_payloads_come_back(spark):
         raw = next(p for n, p in payloads[r.doc_id] if hashlib.sha256(p).hexdigest() == r.payload_sha256 and n == r.n_bytes)
         assert (r.payload_bytes, r.tail_crc32, r.feature, r.digest) == (len(raw), zlib.crc32(raw[-64:]), M.feature(raw), r.payload_sha256)
         assert (r.width, r.width * r.height, r.bit_depth) == (64, len(raw), 8)
+        media = M.encode_image(raw)
+        assert (r.media_bytes, r.media_sha256, r.length) == (len(media), hashlib.sha256(media).hexdigest(), len(media))
     place = {(r.digest, r.shard, r.offset, r.length) for r in got}
     assert len(place) == len({r.digest for r in got})
 
 
+@pytest.mark.parametrize("few", [0, 4096])
+def test_null_ids_repeated_rows_and_hot_digests(spark, monkeypatch, few):
+    from collections import Counter
+
+    monkeypatch.setattr(common, "FEW", few)
+    monkeypatch.setattr(common, "HOT_KEYS", 4 if not few else 1 << 16)
+    table = [(None, None), (None, ""), (None, "a"), (7, "a"), (7, "a"), *((i, "copied") for i in range(40)), (8, "x" * 5_000_000)]
+    stored, root = M.store_media(spark.createDataFrame(table, "doc_id long, text string").repartition(3))
+    got = M.media_columns(stored, root).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in got) == Counter((i, len(t or ""), hashlib.sha256(M.pad((t or "").encode())).hexdigest()) for i, t in table)
+    assert len({(r.digest, r.shard, r.offset) for r in got}) == 4
+
+
 def test_headers_alone(spark):
     stored, root = M.store_media(documents(spark))
     got = M.header_columns(stored, root).collect()

@@ -22,6 +22,7 @@ from ..options import Options
 from ..sources import files
 from .engine import Engine
 from .exact import redact_exactly
+from .session import Session
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -609,6 +610,25 @@ def anonymize_all_stages(spark, sf_dir):
     return result.lookup.groupBy("pii_category").agg(F.count("*").alias("n"))
 
 
+@query(_lookup_sql(True))
+def session_snapshot(spark, sf_dir):
+    """The lookup as a session writes it, twice, and gives it back."""
+    run = Session(spark, f"{shared_folder(spark)}/sessions", uuid.uuid4().hex[:12])
+    table_ = lookup.assign_tags(_found(spark, sf_dir).withColumn("doc_no", F.col("doc_id").cast("long")), "persist", "doc_no")
+    run.snapshot(table_.limit(1))
+    run.snapshot(table_)
+    return _shown(run.restore())
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 > 0")
+def session_pending(spark, sf_dir):
+    """Documents that a stopped run has still to read."""
+    run, docs = Session(spark, f"{shared_folder(spark)}/sessions", uuid.uuid4().hex[:12]), table(spark, sf_dir, "documents").select("doc_id")
+    for rest in (0, 1):
+        run.finish(docs.filter((F.col("doc_id") % 6 == rest * 3) & (F.col("doc_id") % 3 == 0)))
+    return run.pending(docs)
+
+
 DECISIONS = "('1', 'lucia garcia', false, ''), ('6', 'jane anne doe', true, 'ORG')"
 
 

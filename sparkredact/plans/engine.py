@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ class Result:
 class Engine:
     """Pseudonymises segments. Stages see the text without what earlier stages found; tags are given once, at the end.
 
-    Only terms are shuffled between stages (a row for each distinct term of a document), and every barrier is keyed by
-    document, so a document's segments and terms stay in one partition from the first barrier on.
+    Segments are shuffled twice, before the stages and for the result; between stages only terms are (a row for each
+    distinct term of a document).
     """
 
     def __init__(self, spark: SparkSession, options: Options = Options(), ner: models.Provider | None = None, encoder: models.Provider | None = None, tagger: models.Provider | None = None, vectors: DataFrame | None = None):
@@ -58,7 +59,17 @@ class Engine:
         return not self.options.layers or name in self.options.layers
 
     def detect(self, rows: DataFrame) -> DataFrame:
-        """All stages' detections. They are small and checkpointed; every stage's view comes from the segments and what was found so far."""
+        """All stages' detections. They are small and checkpointed; every stage's view comes from the segments and what was found so far.
+
+        Segments are dealt by document once and kept on disk like that while stages run, so that only terms move to them.
+        """
+        rows = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").persist(StorageLevel.DISK_ONLY)
+        try:
+            return self._detect(rows)
+        finally:
+            rows.unpersist()
+
+    def _detect(self, rows: DataFrame) -> DataFrame:
         view, found, names, o = rows, [self._nothing()], None, self.options
         width = (rows.agg(F.max(F.size("cells"))).first()[0] or 0) if o.column_mapping else 0
         for name, stage in self.stages():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,9 @@ class Session:
     def _table(self, what: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{what}")
-        except Exception:  # noqa: BLE001
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def finish(self, files: DataFrame) -> None:
@@ -28,12 +31,22 @@ class Session:
         return files.join(self._table("done", "doc_id string, at double").select("doc_id").distinct(), "doc_id", "left_anti")
 
     def snapshot(self, lookup: DataFrame) -> None:
-        """Replace the snapshot; a half-written one has no success mark and isn't read."""
-        lookup.drop("order").write.mode("overwrite").parquet(f"{self.path}/lookup")
+        """Write a new snapshot and then remove those before; a half-written one has no success mark and isn't read."""
+        lookup.drop("order").write.parquet(f"{self.path}/lookup-{time.time_ns():020d}")
+        for old in self._snapshots()[1:]:
+            fs, path = self._fs(old)
+            fs.delete(path, True)
 
     def restore(self) -> DataFrame | None:
-        fs, path = self._fs(f"{self.path}/lookup/_SUCCESS")
-        return self.spark.read.parquet(f"{self.path}/lookup") if fs.exists(path) else None
+        """The last whole snapshot."""
+        found = self._snapshots()
+        return self.spark.read.parquet(found[0]) if found else None
+
+    def _snapshots(self) -> list[str]:
+        """Whole snapshots, newest first."""
+        fs, path = self._fs(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return [f"{self.path}/{n}" for n in sorted(names, reverse=True) if n.startswith("lookup-") and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
 
     def _fs(self, uri: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)

@@ -25,10 +25,10 @@ class Session:
 
     def finish(self, files: DataFrame) -> None:
         """Note the files (doc_id) that are done."""
-        files.select("doc_id").distinct().withColumn("at", F.lit(time.time())).write.mode("append").parquet(f"{self.path}/done")
+        files.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().withColumn("at", F.lit(time.time())).write.mode("append").parquet(f"{self.path}/done")
 
     def pending(self, files: DataFrame) -> DataFrame:
-        return files.join(self._table("done", "doc_id string, at double").select("doc_id").distinct(), "doc_id", "left_anti")
+        return files.join(self._table("done", "doc_id string, at double").select(F.col("doc_id").cast(files.schema["doc_id"].dataType).alias("doc_id")).distinct(), "doc_id", "left_anti")
 
     def snapshot(self, lookup: DataFrame) -> None:
         """Write a new snapshot and then remove those before; a half-written one has no success mark and isn't read."""

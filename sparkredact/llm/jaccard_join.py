@@ -134,7 +134,11 @@ def group_key(members: np.ndarray, percent: int) -> int:
 
 
 def _packed(words: int, percent: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to a row for each bucket: members, groups, and whether each is in the plain prefix."""
+    """Texts to a row for each bucket: members, groups, and whether each is in the plain prefix.
+
+    A member of more than FREQUENT groups of a batch is known to be shared. Its entries go to buckets of their groups, from
+    ``buckets`` on, and to the member's own just a mark, so that no bucket takes more than a few of it from each batch.
+    """
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +156,17 @@ def _packed(words: int, percent: int, buckets: int) -> Callable[[Iterable[pa.Rec
             group = np.repeat(np.fromiter(prefixes, np.int64, len(counts)), counts)
             with np.errstate(over="ignore"):
                 bucket = ((member * C1) >> np.uint64(20)) % np.uint64(buckets)
+            hot, at, times = np.unique(member, return_inverse=True, return_counts=True)
+            often = times > FREQUENT
+            if often.any():
+                bucket = np.where(often[at], (group.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets) + np.uint64(buckets), bucket)
+                with np.errstate(over="ignore"):
+                    bucket = np.append(bucket, ((hot[often] * C1) >> np.uint64(20)) % np.uint64(buckets))
+                n = int(often.sum())
+                member, group, plain = np.append(member, hot[often]), np.append(group, np.full(n, MARK)), np.append(plain, np.zeros(n, bool))
             way = np.argsort(bucket, kind="stable")
             member, group, plain = member[way], group[way], plain[way]
-            cuts = np.searchsorted(bucket[way], np.arange(buckets + 1)).tolist()
+            cuts = np.searchsorted(bucket[way], np.arange(2 * buckets + 1)).tolist()
             rows = [(b, member[i:j].tobytes(), group[i:j].tobytes(), np.packbits(plain[i:j]).tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
             kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=PACKED)
@@ -162,12 +174,18 @@ def _packed(words: int, percent: int, buckets: int) -> Callable[[Iterable[pa.Rec
     return packed
 
 
+#: What stands for the groups of a member that are elsewhere.
+MARK = np.iinfo(np.int64).min
 PACKED = ["bucket", "members", "gk", "plain"]
 PACKED_SCHEMA = "bucket int, members binary, gk binary, plain binary"
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """Entries of the members of a bucket that several groups share."""
+def _lists(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """Entries of the members of a bucket that several groups share; hot: some batch had it often, and there may be others like it."""
+    return lambda table: _shared_entries(table, table.column("bucket")[0].as_py() >= buckets)
+
+
+def _shared_entries(table: pa.Table, known: bool) -> pa.Table:
     members, groups, plains = (table.column(c).to_pylist() for c in PACKED[1:])
     member, group = np.frombuffer(b"".join(members), np.uint64), np.frombuffer(b"".join(groups), np.int64)
     plain = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8), count=len(m) // 8) for p, m in zip(plains, members)]).astype(bool)
@@ -178,10 +196,12 @@ def _lists(table: pa.Table) -> pa.Table:
     member, group, plain = member[new], group[new], plain[new]
     same = np.append(member[1:] == member[:-1], False)
     some = same | np.append(False, same[:-1])
-    return pa.table({"member": member[some].view(np.int64), "gk": group[some], "in_plain": plain[some]})
+    hot = np.ones(len(member), bool) if known else np.isin(member, member[group == MARK])
+    some = (some | hot) & (group != MARK)
+    return pa.table({"member": member[some].view(np.int64), "gk": group[some], "in_plain": plain[some], "hot": hot[some]})
 
 
-LISTS_SCHEMA = "member long, gk long, in_plain boolean"
+LISTS_SCHEMA = "member long, gk long, in_plain boolean, hot boolean"
 
 
 class _Entry:
@@ -453,7 +473,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * (150 - percent) // (100 * MEMBERS))
     packed = own.select("text").mapInArrow(_packed(words, percent, buckets), PACKED_SCHEMA)
-    entries = space.keep(packed.groupBy("bucket").applyInArrow(_lists, LISTS_SCHEMA), "entries")
+    entries = space.keep(packed.groupBy("bucket").applyInArrow(_lists(buckets), LISTS_SCHEMA), "entries")
+    entries = entries.filter("NOT hot").unionByName(entries.filter("hot").dropDuplicates(["member", "gk"])).drop("hot")
 
     # Groups that share too few members to be linked with any other go, and with them members that one group is left with.
     prefix = lambda n: n - F.ceil(n * percent / F.lit(100)) + 1
@@ -474,6 +495,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = nodes.join(groups.select("gk", "lead", "own"), "gk").join(shared.withColumn("listed", F.lit(True)), "gk", "left").filter("listed OR own > 1")
     known = known.join(crowded, "gk", "left").select("node", "gk", "lead", "n", "sketch", (F.coalesce("frequents", F.lit(0)) > spare(F.col("n"))).alias("plain"))
     known = space.keep(known, "known")
+    for name in ["entries", *(f"entries{turn}" for turn in range(ROUNDS))]:
+        space.drop(name)
     leaders = known.filter("node = lead")
     # Frequent members serve plain nodes alone, and those by the pure hash order.
     often = entries.filter("frequent AND in_plain").join(leaders.select("gk", "plain"), "gk")
@@ -488,6 +511,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = _dealt(first, ENTRY, "member", "block").mapInArrow(_candidates(percent), "a long, b long").distinct()
     edges = edges.union(known.filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")))
     links = space.keep(_links(space.keep(edges, "edges"), nodes, own, words, percent, space), "links")
+    space.drop("edges-texts")
     labels = classes(links, space, "first")
 
     # Then whatever may still connect two classes.
@@ -513,6 +537,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = _texts(clusters.select("node").distinct(), nodes, own, space, "clusters")
         found = _dealt(clusters.join(texts, "node"), ["cluster", "node", "kind", "text"], "cluster").mapInArrow(_linked(words, percent), "a long, b long")
         over = classes(space.keep(found.distinct(), "more-links"), space, "second").withColumnRenamed("node", "kind")
+        space.drop("clusters-texts")
         labels = nodes.select("node").join(labels, "node", "left").withColumn("kind", F.coalesce("kind", "node")).join(over, "kind", "left").select("node", F.coalesce("label", "kind").alias("label"))
 
     # The smallest id of each class, and back to the rows.

@@ -8,7 +8,9 @@ the smallest id stays. What remains is rendered with a chat template.
 The rolling hash is the exclusive or of two 64-bit hashes of each turn salted with its place, so it is extended by a turn
 in constant time and the shuffle for it carries hashes, not texts. With the number of turns it is the key of a
 prefix. Prefix keys are made distinct with map-side aggregation before the join: an opening turn that a third of
-the corpus shares is one row of it. Texts are shuffled once, for the conversations that stay.
+the corpus shares is one row of it. Texts are shuffled once, for the conversations that stay and a few whose id falls
+into a hash bucket with one of those. A conversation is rendered in one row, so its turns have to meet in one task; rows with
+a null id are one conversation and meet likewise.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Workspace, with_keys
+
 #: Role of a turn that has none, and the marks around a turn.
 NO_ROLE, OPEN, NAMED, CLOSE = "unknown", "<|", "|>\n", "<|end|>\n"
 
@@ -57,7 +61,11 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     conversation, which keeps the null. An empty table gives an empty result; other columns are ignored.
     """
     said = _turns(turns, conv_col, turn_col, role_col, text_col)
-    kept = maximal_conversations(said).withColumnRenamed("conv_id", "kept_id")
+    names = ["absent", "id"]
+    named = lambda rows: rows.withColumns({"absent": F.isnull("conv_id"), "id": F.coalesce("conv_id", F.lit(0))})
+    kept = named(Workspace(turns.sparkSession, "chats").keep(maximal_conversations(said), "kept")).drop("conv_id")
     line = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(NAMED), t["text"], F.lit("\n" + CLOSE))
-    collected = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "h1", "h2", "role", "text"))).alias("said"))
-    return collected.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).select("conv_id", "n_turns", "n_equal", F.array_join(F.transform("said", line), "").alias("rendered"))
+    chosen = with_keys(named(said), kept, names).join(kept, names)
+    turn = F.struct("turn", "h1", "h2", "role", "text")
+    collected = chosen.groupBy(*names, "n_turns", "n_equal").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(turn)).alias("said"))
+    return collected.select("conv_id", "n_turns", "n_equal", F.array_join(F.transform("said", line), "").alias("rendered"))

@@ -51,24 +51,28 @@ class Model:
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (begin, end, score) in one pass: disjoint, none can be lengthened to a higher score."""
-    found: list[tuple[int, int, float, float]] = []  # begin, end, total before, total after
+    """All maximal-scoring segments (begin, end, score) in one pass: disjoint, none can be lengthened to a higher score.
+
+    Each candidate keeps the index of the nearest earlier one whose total before it is lower. The search for that follows
+    these links, and what it has passed once no later search passes again, so the scan is linear.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # begin, end, total before, total after, link
     total = 0.0
     for i, s in enumerate(scores.tolist()):
         before, total = total, total + s
         if s <= 0:
             continue
-        begin, low = i, before
+        begin, low, j = i, before, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= total:
-                found.append((begin, i + 1, low, total))
+                found.append((begin, i + 1, low, total, j))
                 break
-            begin, low = found[j][0], found[j][2]
+            begin, _, low, _, link = found[j]
             del found[j:]
-    return [(b, e, after - low) for b, e, low, after in found]
+            j = link
+    return [(b, e, after - low) for b, e, low, after, _ in found]
 
 
 LOW_BITS = np.uint64((1 << 20) - 1)
@@ -229,7 +233,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether a row is of the third that nothing is learned from; false for a null id, which no label names."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:

@@ -63,3 +63,18 @@ def test_segments_equal_the_definition():
         want = best(scores, 0)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
+
+
+def test_the_scan_is_linear():
+    """A million steps of which a search that follows no links walks each earlier segment."""
+    import time
+
+    for scores in (np.tile([1.0, -2.0], 500_000), np.tile([1.0, -1.0], 500_000), np.concatenate([np.tile([2.0, -1.0], 250_000), np.tile([1.0, -2.0], 250_000)])):
+        began = time.process_time()
+        assert X.maximal_segments(scores)
+        assert time.process_time() - began < 20
+
+
+def test_null_ids_are_not_held_out(spark):
+    rows = spark.createDataFrame([(None, "a"), (1, "b")], "doc_id long, text string")
+    assert {r[0]: r[1] for r in rows.select("doc_id", X.held_out(F.col("doc_id"))).collect()} == {None: False, 1: False}

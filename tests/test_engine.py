@@ -259,7 +259,7 @@ def test_all_vectors_meet(spark, monkeypatch, tmp_path, block, most_bytes):
     all_of = similarity.vector_matches(frame.selectExpr("vec_id AS id", "embedding AS vector"), known, 0.3, others=True).collect()
     assert {r.id: (r.target_id, round(r.similarity, 4)) for r in all_of} == best and any(j >= 10 for j, _ in best.values())
     asked = {r.vec_id: (r.best_id, r.similarity) for r in catalog.QUERIES["embed_match"](spark, str(tmp_path)).collect()}
-    assert asked == {i: b for i, b in best.items() if i % 20 == 0 and b[1] >= 0.85} and 40 in asked and asked[60][0] == 40
+    assert asked == {i: b for i, b in best.items() if i % 20 == 0} and 40 in asked and asked[60][0] == 40
     own = similarity.vector_matches(frame.selectExpr("vec_id AS id", "embedding AS vector"), known, 0.9).collect()
     assert {(r.id, r.target_id) for r in own} == {(i, 40 if i in (60, 61) else i) for i, v in rows if v and any(v)}
 

@@ -6,6 +6,9 @@ sorted suffixes start as one interval for each string of WORD bytes; breadth fir
 are extended backwards at once, which splits rows whose common prefix is v bytes and so yields the prefix lengths by increasing
 value. At ``min_length`` the expansion stops: rows still together share that many bytes.
 
+Pieces of text that are equal as a whole are told by 128-bit hashes before that, so results hold but for a clash of those;
+intervals are expanded for what differs.
+
 Getting equal strings into one block takes three steps, none of which loses a match:
 
 * Every window of min_length bytes has a minimiser: the smallest hash of the short strings in it. Equal windows

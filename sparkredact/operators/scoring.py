@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..functions.batches import runs
 
 GOLD_JSON = "array<struct<entity:string,types:array<string>>>"
 
@@ -23,30 +26,37 @@ def greedy_matches(gold: DataFrame, found: DataFrame, relaxed: bool = False) ->
     """doc_id, category, outcome (tp, fp or fn) for each gold entity and each unmatched detection.
 
     Gold entities (doc_id, ord, entity, category) in order take the first free detection of their category (any, if
-    relaxed) that contains them or lies in them. The order matters, so each document's few entities are matched in Python.
+    relaxed) that contains them or lies in them. The order matters, so each document's few entities are matched in Python, very
+    many documents to a batch.
     """
 
-    cols = ["doc_id", "ord", "entity", "category"]
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.set_axis(cols, axis=1)
-        key = (left if len(left) else right)["doc_id"].iloc[0]
-        left, right = left.sort_values("ord"), right.sort_values("ord")
-        texts = [x.lower().strip() for x in right["entity"]]
+    def match(gold_rows: list[dict], found_rows: list[dict]) -> Iterator[tuple[str, str]]:
+        texts = [x["entity"].lower().strip() for x in found_rows]
         free = dict.fromkeys(range(len(texts)))
-        kinds, rows = list(right["category"]), []
-        for entity, category in zip(left["entity"], left["category"]):
-            e = entity.lower().strip()
-            hit = next((i for i in free if (relaxed or kinds[i] == category) and (e in texts[i] or texts[i] in e)), None)
+        for row in gold_rows:
+            e, category = row["entity"].lower().strip(), row["category"]
+            hit = next((i for i in free if (relaxed or found_rows[i]["category"] == category) and (e in texts[i] or texts[i] in e)), None)
             if hit is not None:
                 del free[hit]
-            rows.append((key, category, "fn" if hit is None else "tp"))
-        rows += [(key, kinds[i], "fp") for i in free]
-        return pd.DataFrame(rows, columns=["doc_id", "category", "outcome"])
+            yield category, "fn" if hit is None else "tp"
+        yield from ((found_rows[i]["category"], "fp") for i in free)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches):
+            docs, out = [], []
+            for i, (left, right) in enumerate(zip(batch["gold"].to_pylist(), batch["found"].to_pylist())):
+                each = list(match(left, right))
+                docs += [i] * len(each)
+                out += each
+            kinds, outcomes = [pa.array([x[k] for x in out], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(docs, pa.int32())), kinds, outcomes], ["doc_id", "category", "outcome"])
 
     kind = gold.schema["doc_id"].dataType.simpleString()
-    other = found.select([F.col(c).alias(f"found_{c}") for c in cols])  # both may come from one table
-    return gold.select(cols).groupBy("doc_id").cogroup(other.groupBy("found_doc_id")).applyInPandas(match, f"doc_id {kind}, category string, outcome string")
+    one = F.struct("ord", "entity", "category")
+    none = F.lit(None)
+    sides = gold.select("doc_id", one.alias("g"), none.alias("f")).unionByName(found.select("doc_id", none.alias("g"), one.alias("f")))
+    docs = sides.groupBy("doc_id").agg(F.array_sort(F.collect_list("g")).alias("gold"), F.array_sort(F.collect_list("f")).alias("found"))
+    return docs.mapInArrow(run, f"doc_id {kind}, category string, outcome string")
 
 
 def ratio(a: Column, b: Column) -> Column:

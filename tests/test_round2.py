@@ -3,12 +3,14 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sparkredact.operators import detect, segments
-from sparkredact.plans import catalog
+from sparkredact.functions.batches import runs
+from sparkredact.operators import columns, detect, scoring, segments
+from sparkredact.plans import catalog, exact
 
 LINES = "Des +1 (826) 555-4081 190.137.223.204 du anviou\nor +1 (826) 555-4081, a@x.org\n1232810148878564"
 
@@ -38,3 +40,38 @@ def test_the_engine_still_claims_in_order(spark):
     assert (1, "PHONE", "+1 (826) 555-4081") in found and (1, "IP", "190.137.223.204") in found
     assert not any(c == "PHONE" and n == 4 for n, c, _ in found)
     assert (4, "PHONE", "+44 7700 900123") in [(r.line_number, r.category, r.original) for r in detect.structured(rows, catalog.PLAIN, claim=False).collect()]
+
+
+def _plan(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_greedy_matches_starts_no_frame_for_each_document(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, ord int, entity string, category string")
+    gold, found = rows((1, 1, "Li", "NAME"), (1, 0, "Li Bo", "NAME"), (2, 0, "X", "ORG")), rows((1, 1, " li bo ", "NAME"), (1, 0, "LI", "NAME"), (3, 0, "y", "ORG"))
+    got = scoring.greedy_matches(gold, found)
+    assert "CoGroup" not in _plan(got) and "MapInArrow" in _plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, "NAME", "tp"), (1, "NAME", "tp"), (2, "ORG", "fn"), (3, "ORG", "fp")]
+    assert scoring.greedy_matches(gold, found.limit(0)).filter("outcome = 'fn'").count() == 3
+
+
+def test_mapped_columns_reads_rows_once(spark):
+    table = spark.createDataFrame([(1, "Jane", " Smith "), (2, "[NAME 1]", ""), (3, "", "Li Bo")], "i long, a string, b string").coalesce(1)
+    rows = segments.segments_of_rows(table, "t", "i", ["a", "b"], header=False).withColumn("line_number", F.col("line_number") + 1)
+    got = columns.mapped_columns(rows, {0: "NAME", 1: "NAME"})
+    assert "Union" not in _plan(got)
+    found = [(r.line_number, r.original, r.alias_of, r.ord) for r in got.collect()]
+    assert found[:3] == [(2, "Jane Smith", None, [0, 0, 0, 0]), (2, "Jane", "Jane Smith", [0, 0, 1, 0]), (2, "Smith", "Jane Smith", [0, 0, 1, 1])]
+    assert [x[1] for x in found if x[0] == 4] == ["Li Bo", "Li", "Bo", "li.bo", "bo.li"] and not any(x[0] == 3 for x in found)
+
+
+def test_python_holds_few_rows_at_once(spark):
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 100_000] * 100})
+    assert max(b.num_rows for b in runs([batch])) <= 11 and sum(b.num_rows for b in runs([batch])) == 100
+    docs = spark.createDataFrame([(1, "a@x.org " * 100), (2, None)], "doc_id long, text string")
+    exactly = exact.redact_exactly(docs)
+    assert "MapInArrow" in _plan(exactly) and "MapInPandas" not in _plan(exactly)
+    assert [(r.doc_id, r.redacted, len(r.lookup)) for r in exactly.collect()] == [("1", "[EMAIL 1] " * 100, 1), ("2", "", 0)]
+    parts = segments.split_long_lines(segments.segments_of_texts(docs), 500)
+    assert "MapInArrow" in _plan(parts) and "MapInPandas" not in _plan(parts)
+    assert [(r.sub_index, r.is_subline) for r in parts.collect()] == [(0, False), (1, True)]

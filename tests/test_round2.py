@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from sparkredact.functions.batches import runs
 from sparkredact.operators import columns, detect, scoring, segments
 from sparkredact.plans import catalog, exact
+from sparkredact.sources import files
 
 LINES = "Des +1 (826) 555-4081 190.137.223.204 du anviou\nor +1 (826) 555-4081, a@x.org\n1232810148878564"
 
@@ -75,3 +76,27 @@ def test_python_holds_few_rows_at_once(spark):
     parts = segments.split_long_lines(segments.segments_of_texts(docs), 500)
     assert "MapInArrow" in _plan(parts) and "MapInPandas" not in _plan(parts)
     assert [(r.sub_index, r.is_subline) for r in parts.collect()] == [(0, False), (1, True)]
+
+
+def test_files_are_written_and_read_in_runs(spark, tmp_path):
+    """A table of three runs of lines, larger than a chunk, beside a workbook whose sheets take turns."""
+    n = 2 * files.LINES + 5
+    row = lambda doc, kind, line, sheet: F.struct(F.lit(doc).alias("doc_id"), F.lit(f"{doc}.{kind}").alias("source_file"), F.lit(kind).alias("source_format"), line.cast("int").alias("line_number"), F.lit(False).alias("is_subline"), F.lit(0).alias("sub_index"),
+        F.array(F.struct(F.concat(F.lit('é"\n'), F.repeat(F.lit("x"), 600), line.cast("string")).alias("text"), sheet.alias("sheet_name"), F.lit(0).alias("row_index"), F.lit(0).alias("col_index"))).alias("cells"))
+    ids = spark.range(1, n + 1, numPartitions=3)
+    some = F.when(F.col("id") % 2 == 0, "even").otherwise("odd")
+    parts = [ids.select(row(d, k, F.col("id"), some).alias("r")).select("r.*") for d, k in (("a", "csv"), ("b", "xlsx"))]
+    files.write_files(parts[0].unionByName(parts[1].filter(f"line_number <= {files.LINES + 2}")), f"file://{tmp_path}/out")
+    assert (tmp_path / "out/a_anon.csv").stat().st_size > files.CHUNK
+    read = files.read_files(spark, f"{tmp_path}/out")
+    assert "MapInArrow" in _plan(read) and "MapInPandas" not in _plan(read)
+    got = {(r.source_file, r.line_number): (r.cells[0].text[-5:].strip("x"), r.cells[0].sheet_name) for r in read.collect()}
+    assert all(got["a_anon.csv", i] == (str(i), None) for i in range(1, n + 1)) and len(got) == n + files.LINES + 2
+    turns = [*range(1, files.LINES + 3, 2), *range(2, files.LINES + 3, 2)]
+    assert all(got["b_anon.xlsx", k] == (str(i), "even" if i % 2 == 0 else "odd") for k, i in enumerate(turns, 1))
+
+
+def test_text_files_are_read_without_python(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    read = files.read_files(spark, str(tmp_path))
+    assert "MapIn" not in _plan(read) and read.count() == 2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sparkredact.functions.batches import runs
-from sparkredact.operators import columns, detect, scoring, segments
+from sparkredact.operators import columns, detect, lookup, scoring, segments
 from sparkredact.plans import catalog, exact
 from sparkredact.sources import files
 
@@ -100,3 +100,8 @@ def test_text_files_are_read_without_python(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x\ny\n")
     read = files.read_files(spark, str(tmp_path))
     assert "MapIn" not in _plan(read) and read.count() == 2
+
+
+def test_a_persistent_lookup_reads_texts_once(spark, tables):
+    whole = lookup.assign_tags(catalog._found(spark, str(tables)), "persist")
+    assert "parquet" not in _plan(whole) and whole.count() > 0

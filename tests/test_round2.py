@@ -105,3 +105,17 @@ def test_text_files_are_read_without_python(spark, tmp_path):
 def test_a_persistent_lookup_reads_texts_once(spark, tables):
     whole = lookup.assign_tags(catalog._found(spark, str(tables)), "persist")
     assert "parquet" not in _plan(whole) and whole.count() > 0
+
+
+ODD = [
+    "0555 555-123-4567, +44\u00a07700 900123 or +44\x0b7700 900123", "é10.0.0.1 10.0.0.1é 4111111111111111é", "(555) 123-4567\u0663 é555-123-4567",
+    "a@b.org-c@d.com ²x@y.org ́z@y.org", "[e@x.org] [+44 7700 900123] [10.0.0.1", "straße@x.de ŉ@x.de x@y.orgé ea@x.org_", "+1 (826) 555-4081 190.137.223.204", None,
+]
+
+
+@pytest.mark.parametrize("name", ["detect_phone", "lookup_find", "lookup_per_file", "lookup_persist", "redact_documents", "detect_ip", "detect_card", "detect_email", "category_counts", "session_snapshot"])
+def test_odd_terms_equal_sql(spark, tmp_path, name):
+    """White space, digits and word ends of other scripts, phone numbers that run into others, and terms in brackets."""
+    spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("FRANCE",)], "n_name string").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    test_phone_before_address_equals_sql(spark, tmp_path, name)

@@ -12,6 +12,8 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..functions.batches import runs
 
+#: Documents of a run in Python.
+DOCS = 8192
 GOLD_JSON = "array<struct<entity:string,types:array<string>>>"
 
 
@@ -26,30 +28,35 @@ def greedy_matches(gold: DataFrame, found: DataFrame, relaxed: bool = False) ->
     """doc_id, category, outcome (tp, fp or fn) for each gold entity and each unmatched detection.
 
     Gold entities (doc_id, ord, entity, category) in order take the first free detection of their category (any, if
-    relaxed) that contains them or lies in them. The order matters, so each document's few entities are matched in Python, very
-    many documents to a batch.
+    relaxed) that contains them or lies in them. The order matters, so each document's few entities are matched in Python, which
+    gets them as columns, very many documents to a batch.
     """
 
-    def match(gold_rows: list[dict], found_rows: list[dict]) -> Iterator[tuple[str, str]]:
-        texts = [x["entity"].lower().strip() for x in found_rows]
+    def match(gold_texts: list[str], gold_kinds: list[str], texts: list[str], kinds: list[str]) -> Iterator[tuple[str, str]]:
         free = dict.fromkeys(range(len(texts)))
-        for row in gold_rows:
-            e, category = row["entity"].lower().strip(), row["category"]
-            hit = next((i for i in free if (relaxed or found_rows[i]["category"] == category) and (e in texts[i] or texts[i] in e)), None)
+        for e, category in zip(gold_texts, gold_kinds):
+            hit = next((i for i in free if (relaxed or kinds[i] == category) and (e in texts[i] or texts[i] in e)), None)
             if hit is not None:
                 del free[hit]
             yield category, "fn" if hit is None else "tp"
-        yield from ((found_rows[i]["category"], "fp") for i in free)
+        yield from ((kinds[i], "fp") for i in free)
+
+    def listed(column: pa.ListArray) -> tuple[list[int], list[str], list[str]]:
+        """Where each document's entities begin, their texts and categories, as flat lists."""
+        flat, first = column.flatten(), column.offsets[0].as_py()
+        return [at - first for at in column.offsets.to_pylist()], [t.lower().strip() for t in flat.field("entity").to_pylist()], flat.field("category").to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
+        for batch in runs(batches, DOCS):
             docs, out = [], []
-            for i, (left, right) in enumerate(zip(batch["gold"].to_pylist(), batch["found"].to_pylist())):
-                each = list(match(left, right))
+            (g, gold_texts, gold_kinds), (f, texts, kinds) = listed(batch["gold"]), listed(batch["found"])
+            for i in range(batch.num_rows):
+                left, right = slice(g[i], g[i + 1]), slice(f[i], f[i + 1])
+                each = list(match(gold_texts[left], gold_kinds[left], texts[right], kinds[right]))
                 docs += [i] * len(each)
                 out += each
-            kinds, outcomes = [pa.array([x[k] for x in out], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(docs, pa.int32())), kinds, outcomes], ["doc_id", "category", "outcome"])
+            names, outcomes = [pa.array([x[k] for x in out], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(docs, pa.int32())), names, outcomes], ["doc_id", "category", "outcome"])
 
     kind = gold.schema["doc_id"].dataType.simpleString()
     one = F.struct("ord", "entity", "category")

@@ -119,3 +119,14 @@ def test_odd_terms_equal_sql(spark, tmp_path, name):
     spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("FRANCE",)], "n_name string").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
     test_phone_before_address_equals_sql(spark, tmp_path, name)
+
+
+def test_greedy_matches_reads_columns_of_many_documents(spark):
+    """More documents than a run, some with nothing on one side, in slices of one batch."""
+    n = scoring.DOCS + 1500
+    ids = spark.range(n, numPartitions=1)
+    rows = lambda ids, entity: ids.select(F.col("id").alias("doc_id"), F.lit(0).alias("ord"), entity.alias("entity"), F.lit("NAME").alias("category"))
+    name = F.concat(F.lit(" Name "), F.col("id").cast("string"), F.lit(" "))
+    got = scoring.greedy_matches(rows(ids.filter("id % 3 > 0"), name), rows(ids.filter("id % 5 > 0"), F.upper(name)))
+    want = {"tp": sum(i % 3 > 0 and i % 5 > 0 for i in range(n)), "fn": sum(i % 3 > 0 and i % 5 == 0 for i in range(n)), "fp": sum(i % 3 == 0 and i % 5 > 0 for i in range(n))}
+    assert {r.outcome: r["count"] for r in got.groupBy("outcome").count().collect()} == want

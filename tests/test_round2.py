@@ -130,3 +130,18 @@ def test_greedy_matches_reads_columns_of_many_documents(spark):
     got = scoring.greedy_matches(rows(ids.filter("id % 3 > 0"), name), rows(ids.filter("id % 5 > 0"), F.upper(name)))
     want = {"tp": sum(i % 3 > 0 and i % 5 > 0 for i in range(n)), "fn": sum(i % 3 > 0 and i % 5 == 0 for i in range(n)), "fp": sum(i % 3 == 0 and i % 5 > 0 for i in range(n))}
     assert {r.outcome: r["count"] for r in got.groupBy("outcome").count().collect()} == want
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    texts = ["a\r\n", "\r\r\n", "", "\n", "x\ry\n\nzé", "\n\n"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts * 6)], "doc_id long, text string").coalesce(1).createOrReplaceTempView("small")
+    files.write_files(segments.segments_of_texts(spark.table("small")), f"file://{tmp_path}/out")
+    assert (tmp_path / "out/1_anon.txt").read_bytes() == b"\n\n" and (tmp_path / "out/4_anon.txt").read_bytes() == "x\ny\n\nzé\n".encode()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        read = files.read_files(spark, f"{tmp_path}/out")
+        assert read.rdd.getNumPartitions() <= 4
+        lines = [r.cells[0].text for r in read.filter("source_file = '4_anon.txt'").orderBy("line_number").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert lines == ["x", "y", "", "zé"]

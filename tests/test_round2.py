@@ -145,3 +145,8 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert lines == ["x", "y", "", "zé"]
+
+
+def test_dictionary_names_reads_texts_once(spark, tables):
+    found = detect.dictionary_names(catalog._docs(spark, str(tables)), ["des"], [])
+    assert "parquet" not in _plan(found) and [r.original for r in found.collect()] == ["Des"]

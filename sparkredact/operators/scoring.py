@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..functions.batches import runs
 
-#: Documents of a run in Python.
+#: Rows of a run in Python, besides those of a document that isn't at its end.
 DOCS = 8192
 GOLD_JSON = "array<struct<entity:string,types:array<string>>>"
 
@@ -24,46 +25,65 @@ def gold_entities(samples: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return rows.select("doc_id", "ord", F.trim("e.entity").alias("entity"), F.try_element_at(known, F.lit(1)).alias("category")).filter("length(entity) >= 3 AND category is not null")
 
 
+def whole_documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by doc_id, cut anew so that none ends within a document."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        ids, last = batch["doc_id"], batch.num_rows - 1
+        at = last
+        while at > 0 and ids[at - 1] == ids[last]:
+            at -= 1
+        if held and (at > 0 or ids[0] != held[-1]["doc_id"][-1]):
+            yield pa.concat_batches([*held, batch.slice(0, at)])
+            held = []
+        elif at > 0:
+            yield batch.slice(0, at)
+        held.append(batch.slice(at))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def greedy_outcomes(ids: list, found: list[bool], texts: list[str], kinds: list[str], relaxed: bool) -> list[str | None]:
+    """Outcome of each row: gold entities in order, then detections in order, document by document; null for detections taken.
+
+    What an entity passed over it never takes later, so equal entities go on where the last one stopped: the work is the
+    number of different gold entities times that of detections, in each document.
+    """
+    outcomes = ["fp" if f else "fn" for f in found]
+    starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+    for start, stop in zip(starts, [*starts[1:], len(ids)]):
+        middle = bisect_left(found, True, start, stop)
+        rest: dict[tuple[str, str], Iterator[int]] = {}
+        for i in range(start, middle if middle < stop else start):
+            e, kind = key = texts[i], kinds[i]
+            for j in rest.setdefault(key, iter(range(middle, stop))):
+                if outcomes[j] and (relaxed or kinds[j] == kind) and (e in texts[j] or texts[j] in e):
+                    outcomes[i], outcomes[j] = "tp", None
+                    break
+    return outcomes
+
+
 def greedy_matches(gold: DataFrame, found: DataFrame, relaxed: bool = False) -> DataFrame:
     """doc_id, category, outcome (tp, fp or fn) for each gold entity and each unmatched detection.
 
     Gold entities (doc_id, ord, entity, category) in order take the first free detection of their category (any, if
-    relaxed) that contains them or lies in them. The order matters, so each document's few entities are matched in Python, which
-    gets them as columns, very many documents to a batch.
+    relaxed) that contains them or lies in them. The order matters, so documents are matched in Python: entities reach it as
+    sorted rows, many documents to a batch, and nothing gathers a document's entities before.
     """
 
-    def match(gold_texts: list[str], gold_kinds: list[str], texts: list[str], kinds: list[str]) -> Iterator[tuple[str, str]]:
-        free = dict.fromkeys(range(len(texts)))
-        for e, category in zip(gold_texts, gold_kinds):
-            hit = next((i for i in free if (relaxed or kinds[i] == category) and (e in texts[i] or texts[i] in e)), None)
-            if hit is not None:
-                del free[hit]
-            yield category, "fn" if hit is None else "tp"
-        yield from ((kinds[i], "fp") for i in free)
-
-    def listed(column: pa.ListArray) -> tuple[list[int], list[str], list[str]]:
-        """Where each document's entities begin, their texts and categories, as flat lists."""
-        flat, first = column.flatten(), column.offsets[0].as_py()
-        return [at - first for at in column.offsets.to_pylist()], [t.lower().strip() for t in flat.field("entity").to_pylist()], flat.field("category").to_pylist()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, DOCS):
-            docs, out = [], []
-            (g, gold_texts, gold_kinds), (f, texts, kinds) = listed(batch["gold"]), listed(batch["found"])
-            for i in range(batch.num_rows):
-                left, right = slice(g[i], g[i + 1]), slice(f[i], f[i + 1])
-                each = list(match(gold_texts[left], gold_kinds[left], texts[right], kinds[right]))
-                docs += [i] * len(each)
-                out += each
-            names, outcomes = [pa.array([x[k] for x in out], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(docs, pa.int32())), names, outcomes], ["doc_id", "category", "outcome"])
-
-    kind = gold.schema["doc_id"].dataType.simpleString()
-    one = F.struct("ord", "entity", "category")
-    none = F.lit(None)
-    sides = gold.select("doc_id", one.alias("g"), none.alias("f")).unionByName(found.select("doc_id", none.alias("g"), one.alias("f")))
-    docs = sides.groupBy("doc_id").agg(F.array_sort(F.collect_list("g")).alias("gold"), F.array_sort(F.collect_list("f")).alias("found"))
-    return docs.mapInArrow(run, f"doc_id {kind}, category string, outcome string")
+        for batch in whole_documents(runs(batches, DOCS)):
+            ids = batch["doc_id"].dictionary_encode("encode").indices
+            numbers, side, texts, kinds = (c.to_numpy(zero_copy_only=False).tolist() for c in (ids, *(batch[c] for c in ("found", "entity", "category"))))
+            outcome = pa.array(greedy_outcomes(numbers, side, [t.lower().strip() for t in texts], kinds, relaxed), pa.string())
+            rows = pa.RecordBatch.from_arrays([batch["doc_id"], batch["category"], outcome], ["doc_id", "category", "outcome"])
+            yield rows.filter(outcome.is_valid())
+
+    side = lambda rows, is_found: rows.select("doc_id", F.lit(is_found).alias("found"), "ord", "entity", "category")
+    sides = side(gold, False).unionByName(side(found, True))
+    kind = sides.schema["doc_id"].dataType.simpleString()
+    rows = sides.repartition("doc_id").sortWithinPartitions("doc_id", "found", "ord", "entity", "category").drop("ord")
+    return rows.mapInArrow(run, f"doc_id {kind}, category string, outcome string")
 
 
 def ratio(a: Column, b: Column) -> Column:
